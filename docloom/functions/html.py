@@ -12,6 +12,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docloom.functions import fixed_values as fv
 from docloom.functions.text import strip
@@ -219,10 +220,16 @@ def render(node: Node) -> str:
     return f"<{node.tag}{attrs}>{inner}</{node.tag}>"
 
 
-PAGES_TYPE = "array<struct<page_number:int,text:string>>"
-ANCHORS_TYPE = (
-    "array<struct<position:int,href:string,text:string,spaced_text:string,article_time:string,"
-    "row_kind:string,row_first:boolean,row_title:string,row_date:string>>"
+PAGES_TYPE = T.ArrayType(
+    T.StructType([T.StructField("page_number", T.IntegerType()), T.StructField("text", T.StringType())])
+)
+ANCHORS_TYPE = T.ArrayType(
+    T.StructType(
+        [T.StructField("position", T.IntegerType())]
+        + [T.StructField(n, T.StringType()) for n in ("href", "text", "spaced_text", "article_time", "row_kind")]
+        + [T.StructField("row_first", T.BooleanType())]
+        + [T.StructField(n, T.StringType()) for n in ("row_title", "row_date")]
+    )
 )
 
 
@@ -236,7 +243,7 @@ def extract_anchors(markup: pd.Series) -> pd.Series:
     return markup.map(anchors)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def extract_article(markup: pd.Series, title: pd.Series, url: pd.Series) -> pd.Series:
     return pd.Series([article_body(*row) for row in zip(markup, title, url)])
 

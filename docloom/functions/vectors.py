@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docloom.config import DEFAULT
 from docloom.functions import fixed_values as fv
@@ -78,7 +79,7 @@ def _digest_vector(text: str, dimension: int) -> np.ndarray:
 def digest_encoder(dimension: int = DEFAULT.embedding_dimension):
     """Offline encoder: a vector read off the iterated sha256 of the input."""
 
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def encode(text: pd.Series) -> pd.Series:
         return text.map(lambda t: _digest_vector(t, dimension))
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from docloom.workload import text_queries
+from docloom.workload import chunk_queries, text_queries
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for module in (text_queries,):
+for module in (text_queries, chunk_queries):
     QUERIES.update(module.QUERIES)
     ORACLES.update(module.ORACLES)

@@ -290,14 +290,14 @@ _TOPIC_SQL = (
     "analyzed"))
 def topic_filter(spark, sf):
     q = intent.analyze(tables.questions(spark, sf)).select(
-        "qid", "document_id", intent.topic_terms(F.col("question"), F.col("source_org")).alias("terms")
+        "qid", "document_id", intent.topic_terms(F.col("question"), F.col("source_org")).alias("t")
     )
     docs = tables.with_catalog_columns(tables.documents(spark, sf)).select(
         "document_id", "document_title", "text"
     )
     return q.join(docs, "document_id").select(
-        "qid", F.array_join(F.array_sort("terms"), " ").alias("terms"),
-        intent.matches_topic(F.col("terms"), F.col("document_title"), F.col("text")).alias("matches"),
+        "qid", F.array_join(F.array_sort("t"), " ").alias("terms"),
+        intent.matches_topic(F.col("t"), F.col("document_title"), F.col("text")).alias("matches"),
     )
 
 
