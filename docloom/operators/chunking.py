@@ -197,6 +197,14 @@ def chunk_index(chunks: DataFrame) -> DataFrame:
     )
 
 
+def chunk_total(chunks: DataFrame) -> DataFrame:
+    """Corpus totals beside the per-document index."""
+    per_document = chunks.groupBy("document_id").agg(F.count("*").alias("n"))
+    return per_document.agg(
+        F.count("*").alias("documents"), F.coalesce(F.sum("n"), F.lit(0)).alias("total_chunks")
+    )
+
+
 def checkpoints(chunks: DataFrame, catalog: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
     """What was chunked and from which version of the document."""
     counts = chunks.groupBy("document_id").agg(F.count("*").alias("chunk_count"))

@@ -213,14 +213,16 @@ def chunk_records(spark, sf):
 
 @add("chunk_index", duck.query(
     """select document_id, 'data/chunks/' || replace(document_id, ':', '_') || '.jsonl' as chunk_file, count(*) as chunk_count,
-        'sha256:' || left(sha256(string_agg(content_hash, chr(10) order by content_hash)), 16) as content_hash,
-        sum(count(*)) over ()::bigint as total_chunks
+        'sha256:' || left(sha256(string_agg(content_hash, chr(10) order by content_hash)), 16) as content_hash
        from records group by document_id""", "records"))
 def chunk_index(spark, sf):
-    rows = records(spark, sf)
-    index = chunking.chunk_index(rows)
-    total = index.agg(F.sum("chunk_count").alias("total_chunks")).scalar()
-    return index.withColumn("total_chunks", total)
+    return chunking.chunk_index(records(spark, sf))
+
+
+@add("chunk_total", duck.query(
+    "select count(distinct document_id) as documents, count(*) as total_chunks from records", "records"))
+def chunk_total(spark, sf):
+    return chunking.chunk_total(records(spark, sf))
 
 
 @add("pii_drop_ratio", duck.query(

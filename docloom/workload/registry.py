@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from docloom.workload import chunk_queries, text_queries
+from docloom.workload import chunk_queries, retrieval_queries, text_queries
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for module in (text_queries, chunk_queries):
+for module in (text_queries, chunk_queries, retrieval_queries):
     QUERIES.update(module.QUERIES)
     ORACLES.update(module.ORACLES)
