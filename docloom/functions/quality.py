@@ -40,15 +40,17 @@ def is_placeholder(text: Column) -> Column:
 
 
 def _noise(text: Column, short_is_noise: bool) -> Column:
+    def shrunk(t: Column, n: Column) -> Column:
+        return n < F.greatest(F.lit(120.0), F.length(t) * F.lit(0.35))
+
     def test(t: Column) -> Column:
-        def verdict(cleaned: Column) -> Column:
-            n = F.length(cleaned)
-            shrunk = F.substring(t, 1, 800).rlike(BOILERPLATE) & (
-                n < F.greatest(F.lit(120.0), F.length(t) * F.lit(0.35))
+        furniture = F.substring(t, 1, 800).rlike(BOILERPLATE)
+        if short_is_noise:
+            return (t == "") | let(
+                F.length(sanitize(t)), lambda n: (n < 80) | (furniture & shrunk(t, n))
             )
-            return (n < 80) | shrunk if short_is_noise else shrunk
-
-        return (t == "") | let(sanitize(t), verdict)
+        # Only text that shows page furniture is cleaned to see how much prose is left.
+        return (t == "") | (furniture & shrunk(t, F.length(sanitize(t))))
 
     return let(strip(F.coalesce(text, F.lit(""))), test)
 

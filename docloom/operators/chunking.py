@@ -7,14 +7,14 @@ transformation of one row; only the per-document index aggregates across rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.config import DEFAULT, Settings
 from docloom.functions import identity, quality, structure
 from docloom.functions.dates import publication_year
 from docloom.functions.text import sanitize
-from docloom.session import let
+from docloom.session import explode_rows, let
 
 
 def single_page(df: DataFrame, text: str = "text") -> DataFrame:
@@ -102,31 +102,37 @@ def with_drafts(docs: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
     return docs.withColumn("drafts", let(pieces, number))
 
 
-def explode_drafts(docs: DataFrame) -> DataFrame:
-    """One row per draft with its 1-based number on the page, gaps from no filter yet."""
-    numbered = let(
-        F.col("drafts"),
-        lambda ds: F.transform(
-            ds,
-            lambda d, i: F.struct(
-                d["seq"].alias("seq"),
-                d["page_number"].alias("page_number"),
-                # Pages come in order, so the number on the page is the distance to its start.
-                (
-                    i
-                    - F.array_position(F.transform(ds, lambda x: x["page_number"]), d["page_number"])
-                    + 2
-                )
-                .cast("int")
-                .alias("chunk_index"),
-                d["section_title"].alias("section_title"),
-                d["exact_context"].alias("exact_context"),
-                d["token_count"].alias("token_count"),
+def _numbered(drafts: Column) -> Column:
+    """Drafts with their 1-based number on the page, before any filter."""
+    return let(
+        drafts,
+        lambda ds: let(
+            F.transform(ds, lambda d: d["page_number"]),
+            lambda pages: F.transform(
+                ds,
+                lambda d, i: F.struct(
+                    d["seq"].alias("seq"),
+                    d["page_number"].alias("page_number"),
+                    # Pages come in order: the number is the distance to the page's start.
+                    (i - F.array_position(pages, d["page_number"]) + 2).cast("int").alias(
+                        "chunk_index"
+                    ),
+                    d["section_title"].alias("section_title"),
+                    d["exact_context"].alias("exact_context"),
+                    d["token_count"].alias("token_count"),
+                ),
             ),
         ),
     )
-    kept = [c for c in docs.columns if c not in ("pages", "sections", "units", "drafts")]
-    return docs.select(*kept, F.explode(numbered).alias("d")).select(*kept, "d.*")
+
+
+def _kept_columns(docs: DataFrame) -> list[str]:
+    return [c for c in docs.columns if c not in ("pages", "sections", "units", "drafts")]
+
+
+def explode_drafts(docs: DataFrame) -> DataFrame:
+    """One row per draft."""
+    return explode_rows(docs, _numbered(F.col("drafts")), _kept_columns(docs))
 
 
 def chunk_records(docs: DataFrame, created_at: str, cfg: Settings = DEFAULT) -> DataFrame:
@@ -136,13 +142,21 @@ def chunk_records(docs: DataFrame, created_at: str, cfg: Settings = DEFAULT) ->
     ids stay stable; ``token_count`` describes the draft, ``char_count`` the kept text.
     """
     drafted = with_drafts(with_units(with_sections(docs, cfg=cfg), cfg), cfg)
-    drafts = explode_drafts(drafted)
-    cleaned = drafts.withColumn("exact_context", sanitize(F.col("exact_context")))
-    kept = cleaned.filter(
-        (F.col("exact_context") != "")
-        & ~quality.is_placeholder(F.col("exact_context"))
-        & ~quality.is_explicit_noise(F.col("exact_context"))
+
+    def worth_keeping(d: Column) -> Column:
+        text = d["exact_context"]
+        return (text != "") & ~quality.is_placeholder(text) & ~quality.is_explicit_noise(text)
+
+    cleaned = F.transform(
+        _numbered(F.col("drafts")),
+        lambda d: F.struct(
+            d["page_number"].alias("page_number"),
+            d["chunk_index"].alias("chunk_index"),
+            sanitize(d["exact_context"]).alias("exact_context"),
+            d["token_count"].alias("token_count"),
+        ),
     )
+    kept = explode_rows(drafted, F.filter(cleaned, worth_keeping), _kept_columns(docs))
     return kept.select(
         identity.chunk_id(F.col("document_id"), F.col("page_number"), F.col("chunk_index")).alias(
             "chunk_id"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from docloom.config import DEFAULT, Settings
 from docloom.functions import quality
 from docloom.functions.text import lexical_tokens, lexical_tokens_py, sanitize, strip
-from docloom.session import broadcast_if_small
+from docloom.session import fits_broadcast, keep_derived, let
 
 # Marks one row per document among the postings, so that corpus size and length come
 # from the same shuffle as the term counts.
@@ -22,23 +22,30 @@ def searchable(chunks: DataFrame) -> DataFrame:
 
     Expects chunk_id, document_title, source_url and exact_context; other columns pass.
     """
-    cleaned = chunks.withColumn("exact_context", sanitize(strip(F.col("exact_context")))).filter(
-        (F.col("exact_context") != "")
-        & ~quality.is_placeholder(F.col("exact_context"))
-        & ~quality.is_boilerplate(F.col("exact_context"))
-    )
-    titled = cleaned.withColumn(
-        "document_title",
-        quality.resolve_title(F.col("document_title"), F.col("source_url"), F.col("exact_context")),
-    ).filter(
-        ~(
-            quality.is_low_quality_title(F.col("document_title"))
-            & (F.length("exact_context") < 60)
+
+    def titled(text: Column) -> Column:
+        return let(
+            quality.resolve_title(F.col("document_title"), F.col("source_url"), text),
+            lambda title: F.struct(
+                title.alias("document_title"),
+                text.alias("exact_context"),
+                lexical_tokens(F.concat_ws(" ", title, text)).alias("tokens"),
+            ),
+        )
+
+    def worth_ranking(row: Column) -> Column:
+        text = row["exact_context"]
+        return (
+            (text != "")
+            & (F.size(row["tokens"]) > 0)
+            & ~((F.length(text) < 60) & quality.is_low_quality_title(row["document_title"]))
+            & ~quality.is_placeholder(text)
+            & ~quality.is_boilerplate(text)
         )
-    )
-    return titled.withColumn(
-        "tokens", lexical_tokens(F.concat_ws(" ", "document_title", "exact_context"))
-    ).filter(F.size("tokens") > 0)
+
+    kept = [c for c in chunks.columns if c not in ("document_title", "exact_context")]
+    row = let(sanitize(strip(F.col("exact_context"))), titled)
+    return keep_derived(chunks, row, worth_ranking, kept)
 
 
 def inverse_frequency(n: Column, df: Column) -> Column:
@@ -157,40 +164,44 @@ def search_many(
     q = question_terms(questions, qid, text)
     if scope:
         q = q.join(questions.select(qid, scope), qid)
-    vocabulary = broadcast_if_small(q.select("term").distinct())
-    marked = corpus.select(
-        key, *by, F.size("tokens").alias("doc_len"),
-        F.explode(F.array_append("tokens", F.lit(_DOCUMENT_MARK))).alias("term"),
-    )
-    mark_row = corpus.sparkSession.createDataFrame([(_DOCUMENT_MARK,)], "term string")
-    known = vocabulary.unionByName(mark_row)
+    # One count over the question side decides; every broadcast below is a subset of it.
+    small = fits_broadcast(q)
+
+    def side(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if small else df
+
+    mark = corpus.sparkSession.createDataFrame([(_DOCUMENT_MARK,)], "term string")
+    known = q.select("term").distinct().unionByName(mark)
     postings = (
-        marked.join(broadcast_if_small(known), "term", "left_semi")
+        corpus.select(
+            key, *by, F.size("tokens").alias("doc_len"),
+            F.explode(F.array_append("tokens", F.lit(_DOCUMENT_MARK))).alias("term"),
+        )
+        .join(side(known), "term", "left_semi")
         .groupBy(key, *by, "doc_len", "term")
         .agg(F.count("*").alias("tf"))
     )
     # tf takes part in every branch so that all of them read the same shuffle.
-    present = F.sum((F.col("tf") > 0).cast("bigint"))
-    size = (
-        postings.filter(F.col("term") == _DOCUMENT_MARK)
-        .groupBy(*by)
-        .agg(present.alias("n"), F.avg("doc_len").alias("avg_len"))
+    counted = postings.groupBy(*by, "term").agg(
+        F.sum((F.col("tf") > 0).cast("bigint")).alias("df"), F.sum("doc_len").alias("len")
     )
-    frequency = (
-        postings.filter(F.col("term") != _DOCUMENT_MARK)
-        .groupBy(*by, "term")
-        .agg(present.alias("df"))
+    is_mark = F.col("term") == _DOCUMENT_MARK
+    size = counted.filter(is_mark).select(
+        *by, F.col("df").alias("n"), (F.col("len") / F.col("df")).alias("avg_len")
     )
+    terms = counted.filter(~is_mark).drop("len")
     if scope:
-        terms = frequency.join(size, scope).join(q, [scope, "term"])
+        terms = terms.join(size, scope).join(q, [scope, "term"])
     else:
-        terms = frequency.crossJoin(F.broadcast(size)).join(q, "term")
+        # The totals are one row, read as a scalar.
+        total = size.select(F.struct("n", "avg_len").alias("s")).scalar()
+        terms = terms.withColumn("s", total).select("term", "df", "s.n", "s.avg_len").join(q, "term")
     weighted_terms = terms.select(
         qid, *by, "term", "avg_len",
         (F.col("times") * inverse_frequency(F.col("n"), F.col("df"))).alias("idf"),
     )
     scored = (
-        postings.join(broadcast_if_small(weighted_terms), [*by, "term"])
+        postings.join(side(weighted_terms), [*by, "term"])
         .withColumn(
             "part",
             F.col("idf")
@@ -207,6 +218,6 @@ def search_many(
     )
 
 
-def attach(hits: DataFrame, chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """Bring chunk columns to ranked hits, reading the texts of hits only."""
-    return chunks.join(broadcast_if_small(hits), key)
+def attach(hits: DataFrame, chunks: DataFrame, key: str = "chunk_id", small: bool = False) -> DataFrame:
+    """Bring chunk columns to ranked hits; ``small`` says the hits have a proven bound."""
+    return chunks.join(F.broadcast(hits) if small else hits, key)

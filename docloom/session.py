@@ -56,9 +56,21 @@ def fits_broadcast(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> bool:
     return df.limit(limit + 1).count() <= limit
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Hint a broadcast behind a size check; otherwise leave the shuffle join to AQE."""
-    return F.broadcast(df) if fits_broadcast(df, limit) else df
+def keep_derived(df: DataFrame, derived: Column, keep, columns: list[str]) -> DataFrame:
+    """Keep ``columns`` and the fields of struct ``derived`` for rows where ``keep`` holds.
+
+    A filter over derived columns would be pushed below them and evaluate the whole
+    derivation again.  Going through a generator evaluates it exactly once per row; the
+    outer form also keeps the optimiser from inferring a second evaluation.
+    """
+    kept = df.select(*columns, F.explode_outer(F.filter(F.array(derived), keep)).alias("_kept"))
+    return kept.filter(F.col("_kept").isNotNull()).select(*columns, "_kept.*")
+
+
+def explode_rows(df: DataFrame, rows: Column, columns: list[str]) -> DataFrame:
+    """One output row per struct of the array ``rows``, which is evaluated once."""
+    out = df.select(*columns, F.explode_outer(rows).alias("_row"))
+    return out.filter(F.col("_row").isNotNull()).select(*columns, "_row.*")
 
 
 def let(value: Column, body) -> Column:
