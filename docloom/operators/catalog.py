@@ -37,7 +37,8 @@ def count(catalog: DataFrame, source_org=None, target_date=None) -> DataFrame:
     return matching(catalog, source_org, target_date).agg(F.count("*").alias("documents"))
 
 
-def lookup(catalog: DataFrame, document_id: str) -> DataFrame:
+def lookup(catalog: DataFrame, document_id) -> DataFrame:
+    """One document by id (a string or a scalar column)."""
     return catalog.filter(F.col("document_id") == document_id).limit(1)
 
 

@@ -185,17 +185,19 @@ def search_many(
     counted = postings.groupBy(*by, "term").agg(
         F.sum((F.col("tf") > 0).cast("bigint")).alias("df"), F.sum("doc_len").alias("len")
     )
-    is_mark = F.col("term") == _DOCUMENT_MARK
-    size = counted.filter(is_mark).select(
-        *by, F.col("df").alias("n"), (F.col("len") / F.col("df")).alias("avg_len")
-    )
-    terms = counted.filter(~is_mark).drop("len")
+    # Read the totals with a conditional aggregate and drop the mark by the join on terms:
+    # a filter on the term would sink into the postings and split the shared shuffle.
+    total = F.max(
+        F.when(
+            F.col("term") == _DOCUMENT_MARK,
+            F.struct(F.col("df").alias("n"), (F.col("len") / F.col("df")).alias("avg_len")),
+        )
+    ).alias("s")
     if scope:
-        terms = terms.join(size, scope).join(q, [scope, "term"])
+        terms = counted.join(counted.groupBy(scope).agg(total), scope).join(q, [scope, "term"])
     else:
-        # The totals are one row, read as a scalar.
-        total = size.select(F.struct("n", "avg_len").alias("s")).scalar()
-        terms = terms.withColumn("s", total).select("term", "df", "s.n", "s.avg_len").join(q, "term")
+        terms = counted.withColumn("s", counted.agg(total).scalar()).join(q, "term")
+    terms = terms.select(qid, *by, "term", "times", "df", "s.n", "s.avg_len")
     weighted_terms = terms.select(
         qid, *by, "term", "avg_len",
         (F.col("times") * inverse_frequency(F.col("n"), F.col("df"))).alias("idf"),
