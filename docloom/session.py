@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,11 +45,19 @@ def spread(df: DataFrame) -> DataFrame:
 def work_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``; a local one only where it is unset."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    fallback = os.path.join(tempfile.gettempdir(), "docloom-checkpoint")
-    spark.conf.set("spark.checkpoint.dir", fallback)
-    return fallback
+    return configured or os.path.join(tempfile.gettempdir(), "docloom-work")
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared work folder and read it back.
+
+    For a small intermediate that several branches of a plan read: it is computed once,
+    carries real statistics, and survives the loss of executors.
+    """
+    spark = df.sparkSession
+    path = f"{work_dir(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def fits_broadcast(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> bool:

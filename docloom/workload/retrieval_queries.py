@@ -94,13 +94,13 @@ duck.register("qterms", f"""
     group by all""", "questions")
 
 
-def many_sql(source: str, k: int) -> str:
+def many_sql(source: str, k: int, terms: str = "qterms") -> str:
     return f"""
     select * from (select *, row_number() over (partition by qid order by score desc, chunk_id) as rank from (
         select qid, chunk_id, round(sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avg_len))), 9) as score
         from (select chunk_id, dl, term, count(*)::double as tf from (select chunk_id, len(tokens) as dl, unnest(tokens) as term from {source}) group by all) p
         join (select term, count(*)::double as df from (select unnest(list_distinct(tokens)) as term from {source}) group by term) f using (term)
-        join qterms using (term) cross join (select count(*)::double as n, avg(len(tokens)) as avg_len from {source})
+        join {terms} using (term) cross join (select count(*)::double as n, avg(len(tokens)) as avg_len from {source})
         group by qid, chunk_id)) where rank <= {k}"""
 
 
@@ -311,8 +311,8 @@ def digest_vectors(spark, sf):
 # --- title resolution -----------------------------------------------------------------
 
 
-@add("doc_resolve_margin", duck.query(
-    f"""select qid, case when best >= 0.48 and round(best - coalesce(second, 0), 9) >= 0.06 then document_id end as document_id,
+duck.register("resolved", f"""
+    select qid, case when best >= 0.48 and round(best - coalesce(second, 0), 9) >= 0.06 then document_id end as document_id,
         case when best >= 0.48 and round(best - coalesce(second, 0), 9) >= 0.06 then round(best, 6) end as score
         from (select qid, max(document_id) filter (where r = 1) as document_id, max(score) filter (where r = 1) as best, max(score) filter (where r = 2) as second
             from (select *, row_number() over (partition by qid order by score desc, document_id) as r from (
@@ -322,7 +322,10 @@ def digest_vectors(spark, sf):
                     from (select qid, list_distinct({duck.words('question', 4, fv.TITLE_STOP)}) as t, regexp_extract(question, '\\d{{4}}-\\d{{2}}-\\d{{2}}') as d
                           from questions) q,
                          (select document_id, publication_date, list_distinct({duck.words('document_title', 4, fv.TITLE_STOP)}) as t from catalog where document_title <> '') c)))
-            where r <= 2 group by qid)""", "questions", "catalog"))
+            where r <= 2 group by qid)""", "questions", "catalog")
+
+
+@add("doc_resolve_margin", duck.query("select * from resolved", "resolved"))
 def doc_resolve_margin(spark, sf):
     found = resolve.resolve_documents(tables.questions(spark, sf).drop("document_id"), tables.catalog(spark, sf))
     return found.withColumn("score", F.round("score", 6))

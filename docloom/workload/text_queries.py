@@ -277,7 +277,7 @@ def query_intent(spark, sf):
     )
 
 
-_TOPIC_SQL = (
+TOPIC_SQL = (
     "list_distinct(list_filter(regexp_extract_all(regexp_replace(q, '\\d{4}-\\d{2}-\\d{2}', ' ', 'g'), '[a-z][a-z0-9]{3,}'), "
     f"lambda t: t not in {duck.inlist(fv.LIST_TOPIC_STOP)} and t <> coalesce(lower(source_org), '')))"
 )
@@ -286,7 +286,7 @@ _TOPIC_SQL = (
 @add("topic_filter", duck.query(
     f"""select qid, array_to_string(list_sort(terms), ' ') as terms,
         len(terms) = 0 or len(list_filter(terms, lambda t: contains(lower(a.document_title || ' ' || a.text), t))) > 0 as matches
-        from (select qid, document_id, {_TOPIC_SQL} as terms from analyzed) q join full_catalog a using (document_id)""",
+        from (select qid, document_id, {TOPIC_SQL} as terms from analyzed) q join full_catalog a using (document_id)""",
     "analyzed"))
 def topic_filter(spark, sf):
     q = intent.analyze(tables.questions(spark, sf)).select(
