@@ -37,26 +37,28 @@ def merge_by_document(
     as a whole by the commit protocol, so a failed write leaves the old content.
     """
     spark = incoming.sparkSession
-    touched = replaced.select("document_id").distinct().withColumn(
-        "bucket", bucket_of(F.col("document_id"), buckets)
+    # Written first: ``replaced`` may itself be derived from the table that is rewritten.
+    touched = materialize(
+        replaced.select("document_id").distinct().withColumn(
+            "bucket", bucket_of(F.col("document_id"), buckets)
+        )
     )
     new = incoming.withColumn("bucket", bucket_of(F.col("document_id"), buckets))
     merged = new
     if _exists(spark, path):
         full = T.StructType([f for f in schema.fields if f.name != "bucket"])
-        stored = spark.read.schema(full.add("bucket", "int")).parquet(path)
+        stored = spark.read.schema(full.add("bucket", T.IntegerType())).parquet(path)
         # At most ``buckets`` values: the join prunes folders when the query runs.
         stored = stored.join(F.broadcast(touched.select("bucket").distinct()), "bucket", "left_semi")
         kept = stored.join(touched.select("document_id"), "document_id", "left_anti")
         merged = kept.select(*new.columns).unionByName(new)
-        # A bucket that lost its last row must still be written, or its folder would stay.
-        emptied = touched.join(merged.select("bucket").distinct(), "bucket", "left_anti")
-        _drop_folders(spark, path, emptied)
     out = materialize(merged)
     (
         out.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy("bucket").parquet(path)
     )
+    # A bucket that lost its last row is not in the output, so its folder goes explicitly.
+    _drop_folders(spark, path, touched.join(out.select("bucket").distinct(), "bucket", "left_anti"))
 
 
 def _drop_folders(spark: SparkSession, path: str, emptied: DataFrame) -> None:

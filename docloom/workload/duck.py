@@ -196,7 +196,7 @@ CTES = {
         select c.conv_id * 100 + c.turn as qid, c.conv_id, c.turn, d.document_id,
             case (c.conv_id + c.turn) % 10
             when 0 then 'how many articles were published on nature on ' || d.publication_date
-            when 1 then 'List nature articles published on ' || d.publication_date
+            when 1 then 'Show nature articles published on ' || d.publication_date
             when 2 then 'list articles published on ' || d.publication_date || ' about ' || split_part(d.document_title, ' ', 2)
             when 3 then 'Summarize the clinical findings of ' || d.document_title
             when 4 then d.document_title || ' treatment. Published: ' || d.publication_date

@@ -122,7 +122,7 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.col("publication_date")
     text = (
         F.when(kind == 0, F.concat(F.lit("how many articles were published on nature on "), day))
-        .when(kind == 1, F.concat(F.lit("List nature articles published on "), day))
+        .when(kind == 1, F.concat(F.lit("Show nature articles published on "), day))
         .when(
             kind == 2,
             F.concat(F.lit("list articles published on "), day, F.lit(" about "), word),

@@ -178,7 +178,7 @@ def test_citations_are_numbered_and_unverified(spark):
     chosen = narrowing.one_per_document(hits(spark, ("a::1", 0.1), ("a::2", 0.2), ("b::1", 0.3))).withColumn(
         "publication_year", F.lit(2026))
     got = narrowing.number_citations(chosen).orderBy("index").collect()
-    assert [(r.index, r.chunk_id, r.verification_status, r.publication_date) for r in got] == [
+    assert [(r["index"], r.chunk_id, r.verification_status, r.publication_date) for r in got] == [
         (1, "a::1", "unverified", "2026"), (2, "b::1", "unverified", "2026"),
     ]
 
