@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docloom.functions import fixed_values as fv
+from docloom.functions.text import text_array
 from docloom.session import let
 
 _MONTH = "|".join(fv.MONTHS)
@@ -18,8 +19,7 @@ def _make(year: Column, month: Column, day: Column) -> Column:
 
 
 def _month_number(name: Column) -> Column:
-    months = F.array(*[F.lit(m) for m in fv.MONTHS])
-    return F.array_position(months, name).cast("string")
+    return F.array_position(text_array(fv.MONTHS), name).cast("string")
 
 
 def question_date(question: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docloom.functions import fixed_values as fv
-from docloom.functions.text import BOILERPLATE, sanitize, strip
+from docloom.functions.text import BOILERPLATE, sanitize, strip, text_array
 from docloom.session import let
 
 
@@ -125,6 +125,6 @@ def refuses(answer: Column, cited: Column) -> Column:
     return let(
         lower,
         lambda a: (a == "")
-        | F.exists(F.array(*[F.lit(m) for m in fv.REFUSAL_MARKERS]), lambda m: F.contains(a, m))
+        | F.exists(text_array(fv.REFUSAL_MARKERS), lambda m: F.contains(a, m))
         | ((F.size(cited) == 0) & ~F.contains(a, F.lit(fv.REFUSAL_SELF_MARK))),
     )

@@ -15,6 +15,9 @@ from docloom.functions.text import count_tokens, decode, split_sentences, strip,
 from docloom.session import let
 
 
+_VOCABULARY = f"^(?:{'|'.join(fv.SECTION_VOCABULARY)})$"
+
+
 def is_heading(line: Column) -> Column:
     """Markdown, numbered, known section name, or a line of capitals."""
 
@@ -33,7 +36,7 @@ def is_heading(line: Column) -> Column:
         lambda bare: (strip(line) != "")
         & (
             strip(line).rlike(f"(?U)(?:{fv.MARKDOWN_HEADING}|{fv.NUMBERED_HEADING})")
-            | F.lower(bare).isin(*fv.SECTION_VOCABULARY)
+            | F.lower(bare).rlike(_VOCABULARY)
             | all_caps(bare)
         ),
     )

@@ -69,9 +69,19 @@ def decode(token_array: Column) -> Column:
 
 
 def words(text: Column, min_len: int, stop=()) -> Column:
-    """Lower-case ASCII words of at least ``min_len`` characters, duplicates kept."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(rf"[a-z0-9]{{{min_len},}}"), F.lit(0))
-    return F.filter(found, lambda w: ~w.isin(*stop)) if stop else found
+    """Lower-case ASCII words of at least ``min_len`` characters, duplicates kept.
+
+    Stop words are part of the pattern, so one regex pass does both.
+    """
+    word = rf"[a-z0-9]{{{min_len},}}"
+    if stop:
+        word = rf"(?<![a-z0-9])(?!(?:{'|'.join(stop)})(?![a-z0-9])){word}"
+    return F.regexp_extract_all(F.lower(text), F.lit(word), F.lit(0))
+
+
+def text_array(values) -> Column:
+    """A constant array from one literal; the optimiser folds the split away."""
+    return F.split(F.lit("\x1f".join(values)), "\x1f")
 
 
 def lexical_tokens(text: Column) -> Column:
@@ -161,6 +171,13 @@ def truncate_topic(title: Column, max_len: int) -> Column:
     )
 
 
+def whole_words(text: Column, stop) -> Column:
+    """Words of four or more characters that no other word character touches."""
+    edge = "[A-Za-z0-9_]"
+    word = rf"(?<!{edge})(?!(?:{'|'.join(stop)})(?!{edge}))[a-z0-9]{{4,}}(?!{edge})"
+    return F.regexp_extract_all(F.lower(text), F.lit(word), F.lit(0))
+
+
 # --- snippet for highlighting ---------------------------------------------------------
 
 
@@ -168,10 +185,7 @@ def best_snippet(excerpt: Column, question: Column, max_len: int = 160) -> Colum
     """The sentence sharing most words with the question, first one on ties."""
 
     def terms(c: Column) -> Column:
-        found = F.regexp_extract_all(
-            F.lower(c), F.lit(r"(?<![A-Za-z0-9_])[a-z0-9]{4,}(?![A-Za-z0-9_])"), F.lit(0)
-        )
-        return F.filter(found, lambda w: ~w.isin(*fv.FRAGMENT_STOP))
+        return whole_words(c, fv.FRAGMENT_STOP)
 
     def choose(s: Column) -> Column:
         sentences = F.filter(F.split(s["ex"], rf"(?<=[.!?]){SPACE}+"), lambda x: strip(x) != "")
@@ -235,14 +249,7 @@ def is_follow_up(question: Column, anchor: Column) -> Column:
     """True when a question plausibly narrows the one that needed clarification."""
 
     def terms(c: Column) -> Column:
-        return F.array_distinct(
-            F.filter(
-                F.regexp_extract_all(
-                    F.lower(c), F.lit(r"(?<![A-Za-z0-9_])[a-z0-9]{4,}(?![A-Za-z0-9_])"), F.lit(0)
-                ),
-                lambda w: ~w.isin(*fv.FOLLOW_UP_STOP),
-            )
-        )
+        return F.array_distinct(whole_words(c, fv.FOLLOW_UP_STOP))
 
     prefix = F.substring(F.lower(strip(anchor)), 1, 48)
     return let(

@@ -25,6 +25,8 @@ def build_session(app_name: str = "docloom", cores: str = "*", **conf) -> SparkS
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Call-site capture on every column operation dominates plan construction.
+        .config("spark.sql.dataFrameQueryContext.enabled", "false")
         .config("spark.driver.memory", "12g")
     )
     for key, value in conf.items():

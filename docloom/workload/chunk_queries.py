@@ -29,6 +29,14 @@ def with_structure(spark, sf):
     return chunking.single_page(tables.chunk_source(spark, sf))
 
 
+def exploded(rows, column, number):
+    """Array entries as ``x`` with a 1-based number; the array is evaluated once."""
+    out = rows.select("doc_id", F.posexplode_outer(column).alias("_i", "x"))
+    return out.filter(F.col("_i").isNotNull()).select(
+        "doc_id", (F.col("_i") + 1).cast("bigint").alias(number), "x"
+    )
+
+
 # --- oracles --------------------------------------------------------------------------
 
 _HEAD = f"""(s <> '' and (regexp_matches(s, {duck.lit(fv.MARKDOWN_HEADING)}) or regexp_matches(s, {duck.lit(fv.NUMBERED_HEADING)})
@@ -118,10 +126,9 @@ duck.register("records", f"""
     "select doc_id, k, title, start_char, end_char, sha256(text) as digest from sections", "sections"))
 def section_detect(spark, sf):
     rows = chunking.with_sections(with_structure(spark, sf), merge=False)
-    return rows.select("doc_id", F.posexplode("sections").alias("k", "s")).select(
-        "doc_id", (F.col("k") + 1).cast("bigint").alias("k"), "s.title",
-        F.col("s.start_char").cast("bigint").alias("start_char"),
-        F.col("s.end_char").cast("bigint").alias("end_char"), F.sha2("s.text", 256).alias("digest"),
+    return exploded(rows, "sections", "k").select(
+        "doc_id", "k", "x.title", F.col("x.start_char").cast("bigint").alias("start_char"),
+        F.col("x.end_char").cast("bigint").alias("end_char"), F.sha2("x.text", 256).alias("digest"),
     )
 
 
@@ -129,10 +136,9 @@ def section_detect(spark, sf):
     "select doc_id, k, title, start_char, end_char, sha256(text) as digest from merged", "merged"))
 def short_section_merge(spark, sf):
     rows = chunking.with_sections(with_structure(spark, sf))
-    return rows.select("doc_id", F.posexplode("sections").alias("k", "s")).select(
-        "doc_id", (F.col("k") + 1).cast("bigint").alias("k"), "s.title",
-        F.col("s.start_char").cast("bigint").alias("start_char"),
-        F.col("s.end_char").cast("bigint").alias("end_char"), F.sha2("s.text", 256).alias("digest"),
+    return exploded(rows, "sections", "k").select(
+        "doc_id", "k", "x.title", F.col("x.start_char").cast("bigint").alias("start_char"),
+        F.col("x.end_char").cast("bigint").alias("end_char"), F.sha2("x.text", 256).alias("digest"),
     )
 
 
@@ -141,8 +147,8 @@ def short_section_merge(spark, sf):
         sentences::bigint as n_sentences, sha256(text) as digest from units""", "units"))
 def unit_pack(spark, sf):
     rows = chunking.with_units(chunking.with_sections(with_structure(spark, sf)))
-    return rows.select("doc_id", F.posexplode("units").alias("u", "x")).select(
-        "doc_id", (F.col("u") + 1).cast("bigint").alias("u"), F.col("x.section_title").alias("title"),
+    return exploded(rows, "units", "u").select(
+        "doc_id", "u", F.col("x.section_title").alias("title"),
         F.col("x.token_count").cast("bigint").alias("n_tokens"),
         F.col("x.sentence_count").cast("bigint").alias("n_sentences"), F.sha2("x.text", 256).alias("digest"),
     )
@@ -165,12 +171,10 @@ _CAP = f"""capsource as (select doc_id, {duck.strip('text')} as text from docume
 def chunk_cap(spark, sf):
     from docloom.functions.text import count_tokens
 
-    rows = tables.documents(spark, sf).select(
-        "doc_id", F.posexplode(structure.cap_text(F.col("text"))).alias("piece", "t")
-    )
-    return rows.select(
-        "doc_id", (F.col("piece") + 1).cast("bigint").alias("piece"),
-        count_tokens(F.col("t")).cast("bigint").alias("n_tokens"), F.sha2("t", 256).alias("digest"),
+    rows = tables.documents(spark, sf).select("doc_id", structure.cap_text(F.col("text")).alias("t"))
+    return exploded(rows, "t", "piece").select(
+        "doc_id", "piece", count_tokens(F.col("x")).cast("bigint").alias("n_tokens"),
+        F.sha2("x", 256).alias("digest"),
     )
 
 
@@ -179,10 +183,9 @@ def chunk_cap(spark, sf):
         from (select doc_id, t, unnest(range(0, ceil(len(t) / 128.0)::bigint)) as w
               from (select doc_id, {duck.tokens(duck.strip('text'))} as t from documents))"""))
 def token_windows(spark, sf):
-    rows = tables.documents(spark, sf).select(
-        "doc_id", F.posexplode(structure.token_windows(strip(F.col("text")), 128)).alias("w", "t")
-    )
-    return rows.select("doc_id", F.col("w").cast("bigint").alias("w"), F.sha2("t", 256).alias("digest"))
+    windows = structure.token_windows(strip(F.col("text")), 128)
+    rows = exploded(tables.documents(spark, sf).select("doc_id", windows.alias("t")), "t", "w")
+    return rows.select("doc_id", (F.col("w") - 1).alias("w"), F.sha2("x", 256).alias("digest"))
 
 
 @add("chunk_overlap", duck.query(
