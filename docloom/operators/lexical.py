@@ -155,7 +155,7 @@ def search_many(
     """Top ``k`` chunks per question for a table of questions: qid, key, rank, score, distance.
 
     Postings are cut to the questions' vocabulary before they are counted, one shuffle
-    serves corpus size, document frequencies and weights, and the per-question ranking
+    serves corpus size, document frequencies and scores, and the per-question ranking
     keeps only k rows per partition before its own shuffle.  With ``scope`` (a column both
     sides share) statistics and matches stay inside the question's own scope.
     """
@@ -178,6 +178,9 @@ def search_many(
             F.explode(F.array_append("tokens", F.lit(_DOCUMENT_MARK))).alias("term"),
         )
         .join(side(known), "term", "left_semi")
+        # Placed by chunk: counting terms and summing scores per question and chunk both
+        # stay inside the partition, and only k rows per question leave it.
+        .repartition(key)
         .groupBy(key, *by, "doc_len", "term")
         .agg(F.count("*").alias("tf"))
     )
