@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.config import DEFAULT, Settings
@@ -12,6 +12,7 @@ from docloom.functions import identity, quality
 from docloom.functions.dates import catalog_date
 from docloom.functions.urls import content_type
 from docloom.operators.ranking import global_rank
+from docloom.session import keep_derived, let
 
 
 def matching(
@@ -166,21 +167,30 @@ def best_chunk_per_document(chunks: DataFrame) -> DataFrame:
     ``max_by`` aggregates map-side, so a document with very many chunks sends one
     candidate per partition.
     """
-    text = F.trim("exact_context")
-    usable = chunks.filter(
-        (text != "") & ~quality.is_placeholder(text) & ~quality.is_boilerplate(text)
-    )
-    score = F.length(text) + F.when(
-        F.contains(F.lower(F.substring(text, 1, 200)), F.lit("abstract")), 500
-    ).otherwise(0)
+
+    def candidate(text: Column) -> Column:
+        bonus = F.when(F.contains(F.lower(F.substring(text, 1, 200)), F.lit("abstract")), 500)
+        return F.struct(
+            text.alias("_text"), (F.length(text) + F.coalesce(bonus, F.lit(0))).alias("score")
+        )
+
+    def usable(row: Column) -> Column:
+        text = row["_text"]
+        return (text != "") & ~quality.is_placeholder(text) & ~quality.is_boilerplate(text)
+
+    columns = [
+        "document_id", "chunk_id", "source_org", "source_url", "document_title",
+        "publication_year", "page_number", "chunk_index",
+    ]
+    rows = keep_derived(chunks, let(F.trim("exact_context"), candidate), usable, columns)
     payload = F.struct(
         "chunk_id", "source_org", "source_url", "document_title", "publication_year",
-        "page_number", F.substring(text, 1, 2000).alias("exact_context"), score.alias("score"),
+        "page_number", F.substring("_text", 1, 2000).alias("exact_context"), "score",
     )
     # First of the best in reading order: page, then number on the page.
-    order = F.struct(score, -F.col("page_number"), -F.col("chunk_index"))
+    order = F.struct("score", -F.col("page_number"), -F.col("chunk_index"))
     return (
-        usable.groupBy("document_id").agg(F.max_by(payload, order).alias("c"))
+        rows.groupBy("document_id").agg(F.max_by(payload, order).alias("c"))
         .select("document_id", "c.*")
         .withColumn(
             "document_title",

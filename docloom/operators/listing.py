@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from docloom.functions import fixed_values as fv
 from docloom.functions.dates import listing_date, year_as_date
 from docloom.functions.html import extract_anchors
-from docloom.functions.text import strip
 from docloom.functions.urls import absolute_url, content_type
 from docloom.session import let
 

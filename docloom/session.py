@@ -62,6 +62,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release_work(spark: SparkSession) -> None:
+    """Delete this application's written intermediates; call when its results are stored."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(
+        f"{work_dir(spark)}/{spark.sparkContext.applicationId}"
+    )
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def fits_broadcast(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> bool:
     """True when ``df`` provably holds at most ``limit`` rows (stops counting past it)."""
     return df.limit(limit + 1).count() <= limit

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from docloom.config import DEFAULT
 from docloom.functions import fixed_values as fv
-from docloom.functions import identity, quality, render, urls, vectors
+from docloom.functions import quality, render, urls
 from docloom.operators import (
     audit, catalog as cat, checks, listing, merge, ranking, sessions, suggestions, vector,
 )
