@@ -6,6 +6,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -87,7 +88,7 @@ def train(docs: DataFrame, usable: Column, text_col: str = "text", lang_col: str
     if len(names) > max_languages:
         raise ValueError(f"more than {max_languages} languages")
     counts = np.zeros((len(names), (1 << bits) + 1))
-    counts[[names.index(x) for x in got["lang"]] if len(names) < 2 else np.searchsorted(names, got["lang"]), got["bucket"]] = got["n"]
+    counts[pd.Categorical(got["lang"], categories=names).codes, got["bucket"]] = got["n"]
     grams_seen = counts[:, :-1] + smoothing
     weights = np.log(grams_seen / grams_seen.sum(axis=1, keepdims=True)) if names else grams_seen
     priors = np.log(counts[:, -1] / counts[:, -1].sum()) if names else np.zeros(0)

@@ -8,13 +8,37 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import tokens
+from docloom.llm import langid, tokens, toxicity
+from docloom.llm.common import fold, labelled_sample
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# Labelled rows that a classifier learns from, and the longest text among them.
+TOXIC_ROWS, LEARNED_BYTES = 8_000, 1 << 18
+
+
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.ToxicityModel:
+    """Learned from at most TOXIC_ROWS labelled documents outside the held-out fold."""
+    return toxicity.fit(labelled_sample(docs, labels, "toxic", fold("doc_id", 3) != 1, TOXIC_ROWS, LEARNED_BYTES, "doc_id", "text"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity_model(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score",
+                         (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs, fold("doc_id", 4) != 2)
+    return langid.predict(docs, model).select(
+        "doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = tokens.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
@@ -26,6 +50,8 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_toxicity": op2_toxicity,
+    "op7_language_id": op7_language_id,
     "op4_packing": op4_packing,
     "op5_token_counts": op5_token_counts,
 }

@@ -79,8 +79,8 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(bag + self.bias, -60, 60)))
 
 
-def fit(rows: list[tuple[str, int]], dims: int = 16, epochs: int = 200, rate: float = 0.1, decay: float = 3e-4,
-        least: int = 4, seed: int = 7) -> ToxicityModel:
+def fit(rows: list[tuple[str, int]], dims: int = 16, epochs: int = 120, rate: float = 0.4, decay: float = 1e-4,
+        least: int = 10, seed: int = 7) -> ToxicityModel:
     """Train embeddings and output weights jointly by Adam on (text, 0/1) rows.
 
     A text's vector is the mean over its words of the mean over their subwords' embeddings;
