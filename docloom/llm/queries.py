@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import langid, tokens, toxicity
+from docloom.llm import langid, quality_cnn, tokens, toxicity
 from docloom.llm.common import fold, labelled_sample
 
 
@@ -17,7 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 # Labelled rows that a classifier learns from, and the longest text among them.
-TOXIC_ROWS, LEARNED_BYTES = 8_000, 1 << 18
+TOXIC_ROWS, LEARNED_BYTES = 6_000, 1 << 18
 
 
 def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.ToxicityModel:
@@ -32,6 +32,17 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+QUALITY_ROWS = 3_000
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    rows = labelled_sample(docs, labels, "quality", fold("doc_id", 5) != 0, QUALITY_ROWS, LEARNED_BYTES, "doc_id", "text")
+    return quality_cnn.score(docs, quality_cnn.fit(rows)).select(
+        "doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.train(docs, fold("doc_id", 4) != 2)
@@ -51,6 +62,7 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
+    "op6_quality": op6_quality,
     "op7_language_id": op7_language_id,
     "op4_packing": op4_packing,
     "op5_token_counts": op5_token_counts,
