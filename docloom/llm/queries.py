@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import langid, quality_cnn, tokens, toxicity
+from docloom.llm import langid, quality_cnn, simhash, tokens, toxicity
 from docloom.llm.common import fold, labelled_sample
 
 
@@ -16,6 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
 # Labelled rows that a classifier learns from, and the longest text among them.
 TOXIC_ROWS, LEARNED_BYTES = 6_000, 1 << 18
 
@@ -61,6 +65,7 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash": op1_simhash,
     "op2_toxicity": op2_toxicity,
     "op6_quality": op6_quality,
     "op7_language_id": op7_language_id,
