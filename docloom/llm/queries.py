@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import langid, quality_cnn, simhash, tokens, toxicity
+from docloom.llm import langid, quality_cnn, rules, simhash, tokens, toxicity
 from docloom.llm.common import fold, labelled_sample
 
 
@@ -64,11 +64,18 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.length_table(tokens.length_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return rules.screen(table(spark, sf_dir, "documents"), good, stratum=F.col("lang")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_toxicity": op2_toxicity,
     "op6_quality": op6_quality,
     "op7_language_id": op7_language_id,
+    "op8_quality_rules": op8_quality_rules,
     "op4_packing": op4_packing,
     "op5_token_counts": op5_token_counts,
 }
