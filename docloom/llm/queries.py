@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import decontam, langid, pii, quality_cnn, rules, simhash, tokens, toxicity
+from docloom.llm import decontam, langid, pii, quality_cnn, rules, simhash, substrings, tokens, toxicity
 from docloom.llm.common import fold, labelled_sample
 
 
@@ -83,6 +83,11 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("item", "item_id")
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_toxicity": op2_toxicity,
@@ -91,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_decontamination": op9_decontamination,
     "op3_pii": op3_pii,
+    "op10_suffix_dedup": op10_suffix_dedup,
     "op4_packing": op4_packing,
     "op5_token_counts": op5_token_counts,
 }
