@@ -45,13 +45,14 @@ def fingerprints(docs: DataFrame, words: int = 3, text_col: str = "text", keep:
     words are one shingle, a null text or one without words has fingerprint 0.
     """
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    text = text_col if text_col in keep else "_text"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (s for b in batches for s in slices(b, "_text")):
-            own = [fingerprint(t, words) for t in texts_of(batch, "_text").to_pylist()]
+        for batch in (s for b in batches for s in slices(b, text)):
+            own = [fingerprint(t, words) for t in texts_of(batch, text).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(np.array(own, np.uint64).view(np.int64))], names=[*keep, "fp"])
 
-    return docs.select(*keep, F.col(text_col).alias("_text")).mapInArrow(run, f"{schema}, fp long")
+    return docs.select(*keep, *([] if text_col in keep else [F.col(text_col).alias("_text")])).mapInArrow(run, f"{schema}, fp long")
 
 
 def _signed(value: int) -> int:
@@ -113,6 +114,15 @@ def links(fps: DataFrame) -> DataFrame:
     )
 
 
+def groups(marked: DataFrame, id_col: str) -> DataFrame:
+    """Of every fingerprint of ``marked``: its group's root fingerprint and smallest id (component_id)."""
+    own = marked.groupBy("fp").agg(F.min(id_col).alias("_least"))
+    roots = components(links(crowded(own.select("fp"))))
+    rooted = own.join(roots, own["fp"] == roots["node"], "left").select(own["fp"], "_least", F.coalesce("root", own["fp"]).alias("root"))
+    least = rooted.groupBy("root").agg(F.min("_least").alias("component_id"))
+    return rooted.join(least, "root").select("fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id column, fp, fingerprint (16 lowercase hex digits) and component_id of every row.
 
@@ -123,11 +133,17 @@ def near_duplicates(docs: DataFrame, words: int = 3, id_col: str = "doc_id", tex
     there is none; repeated rows are kept.  An empty table gives no rows.
     """
     marked = fingerprints(docs, words, text_col, (id_col,))
-    groups = marked.groupBy("fp").agg(F.min(id_col).alias("_least"))
-    roots = components(links(crowded(groups.select("fp"))))
-    rooted = groups.join(roots, groups["fp"] == roots["node"], "left").select(
-        groups["fp"], "_least", F.coalesce("root", groups["fp"]).alias("root"))
-    least = rooted.groupBy("root").agg(F.min("_least").alias("component_id"))
-    by_fp = rooted.join(least, "root").select("fp", "component_id")
-    return marked.join(by_fp, "fp").select(
+    return marked.join(groups(marked, id_col), "fp").select(
         id_col, "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def deduplicate(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of near duplicates, that of the smallest id, with all columns of ``docs``.
+
+    Of rows with that same id one stays; a group of null ids keeps one of them.  ``docs``
+    must not have columns fp, root or component_id.
+    """
+    plain = groups(fingerprints(docs, words, text_col, (id_col,)), id_col)
+    marked = fingerprints(docs, words, text_col, tuple(docs.columns))
+    heads = marked.join(plain, "fp").where(F.col(id_col).eqNullSafe(F.col("component_id")))
+    return heads.dropDuplicates(["root"]).select(*docs.columns)

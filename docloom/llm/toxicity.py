@@ -137,9 +137,10 @@ def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", keep: t
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    text = text_col if text_col in keep else "_text"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (s for b in batches for s in slices(b, "_text", 2 << 20)):
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(shared.value.score(texts_of(batch, "_text")))], names=[*keep, "score"])
+        for batch in (s for b in batches for s in slices(b, text, 2 << 20)):
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(shared.value.score(texts_of(batch, text)))], names=[*keep, "score"])
 
-    return docs.select(*keep, F.col(text_col).alias("_text")).mapInArrow(run, f"{schema}, score double")
+    return docs.select(*keep, *([] if text_col in keep else [F.col(text_col).alias("_text")])).mapInArrow(run, f"{schema}, score double")
