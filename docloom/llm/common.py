@@ -21,6 +21,11 @@ def fold(id_col: str, parts: int) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % parts
 
 
+def wrapped(docs: DataFrame, text_col: str) -> DataFrame:
+    """Whole rows as one column ``row`` beside ``text``, so that no column of theirs can clash."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text_col).alias("text"))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Checkpoints go to the folder that ``spark.checkpoint.dir`` names; a local one only if unset."""
     if spark.sparkContext.getCheckpointDir() is None:

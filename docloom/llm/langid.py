@@ -10,6 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from docloom.llm.common import code_points, slices, texts_of
 
@@ -36,7 +37,7 @@ def grams(texts: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     mixed, out = np.zeros(len(codes), np.uint32), []
     for n in range(1, max(ORDERS) + 1):
         ahead = np.full(len(codes), 32, np.uint32)
-        ahead[:len(codes) - n + 1] = codes[n - 1:]
+        ahead[:max(0, len(codes) - n + 1)] = codes[n - 1:]
         mixed = mixed * np.uint32(0x01000193) + ahead + np.uint32(n)
         if n in ORDERS:
             out.append(((mixed * np.uint32(0x9E3779B1)) >> np.uint32(32 - bits)).astype(np.int32))
@@ -103,7 +104,7 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep:
     Ties take the first language in order.  Nulls and repeats in other columns pass through.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    schema = StructType([*(docs.schema[c] for c in keep), StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -123,4 +124,4 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep:
             kept = [batch.column(c) for c in keep]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(names, pa.string()), pa.array(score)], names=[*keep, "lang_pred", "score"])
 
-    return docs.select(*keep, F.col(text_col).alias("_text")).mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return docs.select(*keep, F.col(text_col).alias("_text")).mapInArrow(run, schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import ensure_checkpoint_dir
+from docloom.llm.common import ensure_checkpoint_dir, wrapped
 
 # What is found, tried in this order at each place.
 _FREE, _END = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
@@ -178,38 +178,35 @@ def exceptions(entities: DataFrame, key: str) -> DataFrame:
     raise ValueError("an entity's format has too few values for distinct surrogates")
 
 
-def pseudonymize(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
-    """``docs`` with the entities of ``text_col`` replaced, and their number in n_entities; other columns stay.
+def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", count_col: str | None = None) -> DataFrame:
+    """``docs`` with the entities of ``text_col`` replaced; their number goes to ``count_col`` if named.
 
     Equal entities, in any spelling, get equal surrogates all over the corpus and different
     ones different surrogates, none of which the corpus holds itself.  Surrogates follow from
     the key by a row's own functions; only the few that collide are kept in a table, and only
     then documents that hold one are joined to it by the XXH64 of their text.  Null texts stay
-    null with 0 entities, as do texts without any; repeated rows, null ids and empty tables
-    need no care.  ``docs`` must not have a column n_entities or ``_made``, ``_entities``.
+    null with 0 entities, as do texts without any; repeated rows, null ids, other columns of
+    any name and empty tables pass through.
     """
-    text = F.col(text_col)
-    entities = (
-        docs.select(F.explode(_found(text)).alias("e")).select("e.kind", "e.canon").distinct()
-    )
     ensure_checkpoint_dir(docs.sparkSession)
-    entities = entities.checkpoint()
+    rows = wrapped(docs, text_col)
+    text = F.col("text")
+    entities = rows.select(F.explode(_found(text)).alias("e")).select("e.kind", "e.canon").distinct().checkpoint()
     odd = exceptions(entities, key).checkpoint()
-    marked = docs.withColumn("_entities", _found(text))
+    marked = rows.withColumn("found", _found(text))
     if odd.isEmpty():
-        marked = marked.withColumn("_made", F.lit(None).cast("map<string,int>"))
+        marked = marked.withColumn("tried", F.lit(None).cast("map<string,int>"))
     else:
-        names = F.concat_ws("|", "e.kind", "e.canon")
         hit = (
-            docs.select(F.xxhash64(text).alias("_text_key"), F.explode(F.array_distinct(_found(text))).alias("e"))
-            .select("_text_key", names.alias("name"), F.col("e.kind").alias("kind"), F.col("e.canon").alias("canon")).distinct()
-            .join(odd, ["kind", "canon"]).groupBy("_text_key")
-            .agg(F.map_from_entries(F.collect_set(F.struct("name", "attempt"))).alias("_made"))
+            rows.select(F.xxhash64(text).alias("text_key"), F.explode(F.array_distinct(_found(text))).alias("e"))
+            .select("text_key", "e.kind", "e.canon").distinct().join(odd, ["kind", "canon"])
+            .groupBy("text_key").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("|", "kind", "canon"), "attempt"))).alias("tried"))
         )
-        marked = marked.join(hit, F.xxhash64(marked[text_col]) == hit["_text_key"], "left").drop("_text_key")
-    attempt = lambda e: F.coalesce(F.element_at(F.col("_made"), F.concat_ws("|", e["kind"], e["canon"])), F.lit(0))
-    made = F.transform("_entities", lambda e: dress(e["kind"], e["raw"], surrogate(key, e["kind"], e["canon"], attempt(e))))
-    parts = F.split(text, ANY, -1)
-    whole = F.array_join(F.zip_with(parts, made, lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), "")
-    return marked.withColumn("n_entities", F.coalesce(F.size("_entities"), F.lit(0))).withColumn(
-        text_col, F.when(F.col("n_entities") > 0, whole).otherwise(text)).drop("_entities", "_made")
+        marked = marked.withColumn("text_key", F.xxhash64(text)).join(hit, "text_key", "left")
+    attempt = lambda e: F.coalesce(F.element_at("tried", F.concat_ws("|", e["kind"], e["canon"])), F.lit(0))
+    made = F.transform("found", lambda e: dress(e["kind"], e["raw"], surrogate(key, e["kind"], e["canon"], attempt(e))))
+    whole = F.array_join(F.zip_with(F.split(text, ANY, -1), made, lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), "")
+    many = F.greatest(F.coalesce(F.size("found"), F.lit(0)), F.lit(0))
+    done = marked.select("row", F.when(many > 0, whole).otherwise(text).alias("done"), many.alias("many"))
+    kept = [F.col("done").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns if c != count_col]
+    return done.select(*kept, *([F.col("many").alias(count_col)] if count_col else []))

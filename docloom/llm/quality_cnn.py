@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from docloom.llm.common import slices, texts_of
 
@@ -140,11 +141,11 @@ def score(docs: DataFrame, model: QualityModel, text_col: str = "text", keep: tu
     in other columns pass through row by row.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    schema = StructType([*(docs.schema[c] for c in keep), StructField("score", DoubleType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = shared.value.pairs()
         for batch in (s for b in batches for s in slices(b, "_text", 4 << 20)):
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(shared.value.score(texts_of(batch, "_text"), tables))], names=[*keep, "score"])
 
-    return docs.select(*keep, F.col(text_col).alias("_text")).mapInArrow(run, f"{schema}, score double")
+    return docs.select(*keep, F.col(text_col).alias("_text")).mapInArrow(run, schema)

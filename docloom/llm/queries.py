@@ -59,7 +59,7 @@ SURROGATE_KEY = "public-test-key"
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), SURROGATE_KEY).select("doc_id", "text", "n_entities")
+    return pii.pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), SURROGATE_KEY, count_col="n_entities").select("doc_id", "text", "n_entities")
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

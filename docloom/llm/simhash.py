@@ -9,8 +9,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from docloom.llm.common import slices, texts_of
+from docloom.llm.common import slices, texts_of, wrapped
 from docloom.llm.components import components
 
 SEED = 42
@@ -44,7 +45,7 @@ def fingerprints(docs: DataFrame, words: int = 3, text_col: str = "text", keep:
     Words are runs of anything but ASCII white space, with A-Z lower-cased.  Texts of fewer
     words are one shingle, a null text or one without words has fingerprint 0.
     """
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    schema = StructType([*(docs.schema[c] for c in keep), StructField("fp", LongType())])
     text = text_col if text_col in keep else "_text"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,7 +53,7 @@ def fingerprints(docs: DataFrame, words: int = 3, text_col: str = "text", keep:
             own = [fingerprint(t, words) for t in texts_of(batch, text).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(np.array(own, np.uint64).view(np.int64))], names=[*keep, "fp"])
 
-    return docs.select(*keep, *([] if text_col in keep else [F.col(text_col).alias("_text")])).mapInArrow(run, f"{schema}, fp long")
+    return docs.select(*keep, *([] if text_col in keep else [F.col(text_col).alias("_text")])).mapInArrow(run, schema)
 
 
 def _signed(value: int) -> int:
@@ -140,10 +141,10 @@ def near_duplicates(docs: DataFrame, words: int = 3, id_col: str = "doc_id", tex
 def deduplicate(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of near duplicates, that of the smallest id, with all columns of ``docs``.
 
-    Of rows with that same id one stays; a group of null ids keeps one of them.  ``docs``
-    must not have columns fp, root or component_id.
+    Of rows with that same id one stays; a group of null ids keeps one of them.  Null texts
+    are one group with the other texts without words.
     """
     plain = groups(fingerprints(docs, words, text_col, (id_col,)), id_col)
-    marked = fingerprints(docs, words, text_col, tuple(docs.columns))
-    heads = marked.join(plain, "fp").where(F.col(id_col).eqNullSafe(F.col("component_id")))
-    return heads.dropDuplicates(["root"]).select(*docs.columns)
+    marked = fingerprints(wrapped(docs, text_col), words, "text", ("row",))
+    heads = marked.join(plain, "fp").where(F.col(f"row.{id_col}").eqNullSafe(F.col("component_id")))
+    return heads.dropDuplicates(["root"]).select("row.*")

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from docloom.llm.common import code_points, slices, texts_of
 from docloom.llm.langid import letters
@@ -49,7 +50,7 @@ def subwords(texts: pa.Array) -> Words:
     mixed = np.zeros(len(bordered), np.uint32)
     for n in range(1, longest + 1):
         ahead = np.full(len(bordered), 32, np.uint32)
-        ahead[:len(bordered) - n + 1] = bordered[n - 1:]
+        ahead[:max(0, len(bordered) - n + 1)] = bordered[n - 1:]
         mixed = mixed * np.uint32(0x01000193) + ahead + np.uint32(n)
         if n in ORDERS:
             count = np.maximum(sizes - n + 1, 0)
@@ -136,11 +137,11 @@ def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", keep: t
     in other columns pass through row by row.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    schema = StructType([*(docs.schema[c] for c in keep), StructField("score", DoubleType())])
     text = text_col if text_col in keep else "_text"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (s for b in batches for s in slices(b, text, 2 << 20)):
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(shared.value.score(texts_of(batch, text)))], names=[*keep, "score"])
 
-    return docs.select(*keep, *([] if text_col in keep else [F.col(text_col).alias("_text")])).mapInArrow(run, f"{schema}, score double")
+    return docs.select(*keep, *([] if text_col in keep else [F.col(text_col).alias("_text")])).mapInArrow(run, schema)
