@@ -16,6 +16,11 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
+def once(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it in lambdas."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def runs(words: Column, size: int) -> Column:
     """XXH64 of every run of ``size`` neighbouring words."""
     return F.when(F.size(words) >= size, F.transform(F.sequence(F.lit(1), F.size(words) - size + 1), lambda k: F.xxhash64(F.slice(words, k, size)))
@@ -35,8 +40,7 @@ def simhash(words: Column) -> Column:
         return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda acc, b: acc.bitwiseOR(F.when(
             2 * F.size(F.filter(own, lambda h: F.call_function("getbit", h, b) == 1)) > F.size(own), F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long"))))
 
-    # The array is bound once, as the element of a one-element array.
-    return F.element_at(F.transform(F.array(hashes), fold), 1)
+    return once(hashes, fold)
 
 
 def blocks(fp: Column, radius: int) -> Column:
@@ -92,8 +96,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_
     laid = hits.distinct().groupBy("text_key").agg(F.collect_set(F.struct("start", "n_words")).alias("laid"))
     windows = (
         texts.join(laid, "text_key").select("text_key", "laid", words_of(F.col("text")).alias("words"))
-        .select("text_key", F.explode(F.transform("laid", lambda w: F.struct(
-            w["start"].alias("start"), w["n_words"].alias("n_words"), F.slice("words", w["start"] + 1, w["n_words"]).alias("words")))).alias("w"))
+        .select("text_key", F.explode(once(F.col("words"), lambda words: F.transform("laid", lambda w: F.struct(
+            w["start"].alias("start"), w["n_words"].alias("n_words"), F.slice(words, w["start"] + 1, w["n_words"]).alias("words"))))).alias("w"))
         .select("text_key", "w.*").distinct()
         .withColumn("fp", simhash(F.col("words")))
     )
