@@ -21,7 +21,7 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Labelled rows that a classifier learns from, and the longest text among them.
-TOXIC_ROWS, LEARNED_BYTES = 6_000, 1 << 18
+TOXIC_ROWS, LEARNED_BYTES = 3_600, 1 << 18
 
 
 def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.ToxicityModel:

@@ -80,6 +80,17 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(bag + self.bias, -60, 60)))
 
 
+def _shares(texts: list[str], first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text number, bucket and percent of the text's bag for every subword of some texts."""
+    words = subwords(pa.array(texts, pa.string()))
+    sizes = np.diff(np.append(words.word_starts, len(words.buckets)))
+    count = np.diff(words.text_words)
+    text = np.repeat(np.repeat(np.arange(len(texts)), count), sizes)
+    share = np.repeat(100 / (np.repeat(np.maximum(count, 1), count) * sizes), sizes)
+    cell, place = np.unique(text << BITS | words.buckets, return_inverse=True)
+    return (cell >> BITS).astype(np.int32) + np.int32(first), (cell & (1 << BITS) - 1).astype(np.int32), np.bincount(place, share, len(cell)).astype(np.float32)
+
+
 def fit(rows: list[tuple[str, int]], dims: int = 16, epochs: int = 120, rate: float = 0.4, decay: float = 1e-4,
         least: int = 10, seed: int = 7) -> ToxicityModel:
     """Train embeddings and output weights jointly by Adam on (text, 0/1) rows.
@@ -95,19 +106,16 @@ def fit(rows: list[tuple[str, int]], dims: int = 16, epochs: int = 120, rate: fl
     logits = np.zeros(1 << BITS, np.float32)
     if not 0 < labels.sum() < len(labels):
         return ToxicityModel(logits, float(np.log(base / (1 - base))))
-    words = subwords(pa.array([r[0] for r in rows], pa.string()))
-    sizes = np.diff(np.append(words.word_starts, len(words.buckets)))
-    count = np.diff(words.text_words)
-    text = np.repeat(np.repeat(np.arange(len(rows)), count), sizes)
-    share = np.repeat(1 / (np.repeat(np.maximum(count, 1), count) * sizes), sizes)
-    cell, place = np.unique(text.astype(np.int64) << BITS | words.buckets, return_inverse=True)
-    part = np.bincount(place, share)
-    doc, bucket = cell >> BITS, cell & (1 << BITS) - 1
-    used = np.flatnonzero(np.bincount(bucket, minlength=1 << BITS) >= least)
-    at = np.full(1 << BITS, -1)
+    parts = [_shares([r[0] for r in rows[k:k + 64]], k) for k in range(0, len(rows), 64)]
+    seen = sum(np.bincount(p[1], minlength=1 << BITS) for p in parts)
+    used = np.flatnonzero(seen >= least)
+    at = np.full(1 << BITS, -1, np.int32)
     at[used] = np.arange(len(used))
-    kept = at[bucket] >= 0
-    doc, bucket, part = doc[kept], at[bucket[kept]], part[kept] * 100  # a percent of the text has weight one
+    for k, (doc, bucket, part) in enumerate(parts):
+        kept = at[bucket] >= 0
+        parts[k] = doc[kept], at[bucket[kept]], part[kept]
+    doc, bucket, part = map(np.concatenate, zip(*parts))
+    del parts
     rng = np.random.default_rng(seed)
     table = rng.normal(0, 0.05, (len(used), dims))
     out = rng.normal(0, 0.3, (dims, 2))
@@ -116,9 +124,9 @@ def fit(rows: list[tuple[str, int]], dims: int = 16, epochs: int = 120, rate: fl
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
     for epoch in range(1, epochs + 1):
         toxic = out[:, 1] - out[:, 0]
-        logit = np.bincount(doc, (table @ toxic)[bucket] * part, len(rows)) + bias[1] - bias[0]
+        logit = np.bincount(doc, (table @ toxic).astype(np.float32)[bucket] * part, len(rows)) + bias[1] - bias[0]
         error = (1 / (1 + np.exp(-np.clip(logit, -60, 60))) - labels) / len(labels)
-        pull = np.bincount(bucket, error[doc] * part, len(used))
+        pull = np.bincount(bucket, error.astype(np.float32)[doc] * part, len(used))
         toward = table.T @ pull
         grads = [np.outer(pull, toxic) + decay * table / len(labels) ** 0.5, np.stack((-toward, toward), axis=1), np.array([-error.sum(), error.sum()])]
         for value, grad, (m, v) in zip(params, grads, moments):
