@@ -102,6 +102,7 @@ def anchors(texts: DataFrame, length: int) -> DataFrame:
                 pack = k2 << 48 | (last - first) << 40 | (anchor - first) << 32 | offset
                 _, head, place, count = np.unique(h2 ^ mixed(h1), return_index=True, return_inverse=True, return_counts=True)
                 extra = head[place] != np.arange(len(place))
+                h1[extra] = mixed(k1[extra].view(np.uint64) ^ pack[extra].view(np.uint64))  # they meet no group
                 yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(k1), pa.array(pack),
                                                   pa.array(count[place] > 1), pa.array(extra)], names=["h1", "h2", "k1", "pack", "many", "extra"])
 
@@ -228,7 +229,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
         "id", "text", F.xxhash64("text").alias("k1"), F.crc32(F.col("text").cast("binary")).bitwiseAND(F.lit(0x7FFF)).alias("k2"))
     runs = anchors(texts, length)
     shared = runs.where(~F.col("extra")).groupBy("h1").agg(F.sum(F.when(F.col("many"), 2).otherwise(1)).alias("n")).where("n > 1").select("h1")
-    near = runs.join(shared, "h1", "left_semi").checkpoint()
+    near = runs.join(shared.withColumn("met", F.lit(True)), "h1", "left").where(F.col("extra") | F.col("met")).drop("met").checkpoint()
     classes = near.where(~F.col("extra")).groupBy("h1", "h2").agg(
         F.sum(F.when(F.col("many"), 2).otherwise(1)).alias("n"), F.min(F.struct("k1", "pack")).alias("stands"))
     sizes = classes.groupBy("h1").agg(F.count("*").alias("classes"))
