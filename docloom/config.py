@@ -43,7 +43,6 @@ class Settings:
     embed_mock: bool = False
     has_embedding_token: bool = False
     # corpus
-    max_documents: int = 20
     max_download_mb: int = 12
 
     @property

@@ -77,16 +77,22 @@ def newest(catalog: DataFrame, n: int) -> DataFrame:
 
 
 def upsert(catalog: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Replace rows with the same document_id, append the rest, rank again."""
+    """Replace rows with the same document_id, append the rest, rank again.
+
+    Of several incoming rows for one document the latest ingestion stays (of equal ones
+    the smallest title, then link).
+    """
+    latest = Window.partitionBy("document_id").orderBy(F.col("ingested_at").desc_nulls_last(), "document_title", "source_url")
+    incoming = incoming.withColumn("_n", F.row_number().over(latest)).filter("_n = 1").drop("_n")
     kept = catalog.drop("chronological_rank").join(
         incoming.select("document_id"), "document_id", "left_anti"
     )
     return rank_newest_first(kept.unionByName(incoming.drop("chronological_rank")))
 
 
-def retain_newest(catalog: DataFrame, max_documents: int | None = None, cfg: Settings = DEFAULT):
-    """Split a catalog into the newest ``max_documents`` and the tombstones of the rest."""
-    cap = cfg.max_documents if max_documents is None else max_documents
+def retain_newest(catalog: DataFrame, max_documents: int | None):
+    """Split a catalog into the newest ``max_documents`` (None: all) and the tombstones of the rest."""
+    cap = 1 << 62 if max_documents is None else max_documents
     ranked = rank_newest_first(catalog)
     kept = ranked.filter(F.col("chronological_rank") <= cap)
     removed = ranked.filter(F.col("chronological_rank") > cap).select("document_id")
@@ -185,7 +191,7 @@ def best_chunk_per_document(chunks: DataFrame) -> DataFrame:
     rows = keep_derived(chunks, let(F.trim("exact_context"), candidate), usable, columns)
     payload = F.struct(
         "chunk_id", "source_org", "source_url", "document_title", "publication_year",
-        "page_number", F.substring("_text", 1, 2000).alias("exact_context"), "score",
+        "page_number", F.col("_text").alias("exact_context"), "score",
     )
     # First of the best in reading order: page, then number on the page.
     order = F.struct("score", -F.col("page_number"), -F.col("chunk_index"))

@@ -136,26 +136,28 @@ def newest_items(items: DataFrame, limit: int) -> DataFrame:
     return items.orderBy(F.col("publication_date").desc(), "position").limit(limit)
 
 
-def paged_discovery(items: DataFrame, max_items: int) -> DataFrame:
+def paged_discovery(items: DataFrame, max_items: int | None = None) -> DataFrame:
     """Items of consecutive listing pages up to the first page that brings nothing new.
 
-    ``page_order`` counts from 1.  The cap ends reading after the page that reaches it.
-    Only per-page counts are windowed, and a listing has few pages.
+    ``page_order`` counts from 1; reading ends at a gap.  With ``max_items`` it also ends
+    after the page that reaches the cap.  Every page before the end brings an item, so the
+    cap lies within ``max_items`` pages, and only those are windowed; otherwise the end is
+    two aggregates.
     """
+    page = F.col("page_order").alias("page")
     first_seen = items.groupBy("source_url").agg(F.min("page_order").alias("page"))
-    fresh = first_seen.groupBy("page").agg(F.count("*").alias("fresh"))
-    pages = items.select(F.col("page_order").alias("page")).distinct().join(fresh, "page", "left")
-    upto = Window.orderBy("page")
-    before = upto.rowsBetween(Window.unboundedPreceding, -1)
-    n = F.coalesce("fresh", F.lit(0))
-    read = pages.select(
-        "page",
-        F.coalesce(F.max((n == 0).cast("int")).over(before), F.lit(0)).alias("ended"),
-        F.coalesce(F.sum(n).over(before), F.lit(0)).alias("seen"),
-        F.row_number().over(upto).alias("i"),
-    ).filter((F.col("ended") == 0) & (F.col("seen") < max_items) & (F.col("i") == F.col("page")))
-    kept = items.join(F.broadcast(read.select(F.col("page").alias("page_order"))), "page_order", "left_semi")
-    return newest_items(first_by_url(kept.drop("page_order")), max_items)
+    pages = items.select(page).distinct()
+    stale = pages.join(first_seen.select("page").distinct(), "page", "left_anti")
+    gaps = pages.join(pages.select((F.col("page") - 1).alias("page")), "page", "left_anti")
+    ends = stale.union(gaps)
+    if max_items is not None:
+        fresh = first_seen.filter(F.col("page") <= max_items).groupBy("page").agg(F.count("*").alias("fresh"))
+        seen = F.sum("fresh").over(Window.orderBy("page"))
+        ends = ends.union(fresh.withColumn("seen", seen).filter(F.col("seen") >= max_items).select("page"))
+    last = ends.agg(F.min("page")).scalar()
+    first = pages.agg(F.min("page")).scalar()
+    kept = first_by_url(items.filter((F.col("page_order") <= last) & (first == 1)).drop("page_order"))
+    return kept if max_items is None else newest_items(kept, max_items)
 
 
 def crawl(links: DataFrame, start: DataFrame, max_hops: int = 1) -> DataFrame:

@@ -40,7 +40,8 @@ def to_embed(chunks: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def upsert(stored: DataFrame, incoming: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """Incoming rows replace stored rows with the same key."""
+    """Incoming rows replace stored rows with the same key; of repeated incoming keys one row stays."""
+    incoming = incoming.dropDuplicates([key])
     return stored.join(incoming.select(key), key, "left_anti").unionByName(incoming)
 
 

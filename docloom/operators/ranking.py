@@ -6,6 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join in which a NULL key meets a NULL key."""
+    renamed = right.withColumnsRenamed({k: f"{k}_r" for k in keys})
+    on = [left[k].eqNullSafe(renamed[f"{k}_r"]) for k in keys]
+    return left.join(renamed, on).drop(*(f"{k}_r" for k in keys))
+
+
 def global_rank(
     df: DataFrame, levels: list[tuple[Column, bool]], last: str, name: str = "rank"
 ) -> DataFrame:
@@ -14,7 +21,8 @@ def global_rank(
     Each level refines the one before it, from coarse to fine.  Group sizes are counted
     once at the finest level and rolled up; the running totals of a level only run inside
     its parent group.  Rows themselves are numbered inside the finest groups, so choose a
-    finest level that splits any group that can grow large.
+    finest level that splits any group that can grow large.  NULLs of a level are a group of
+    their own, first in ascending and last in descending order.
     """
     keys = [f"_k{i}" for i in range(len(levels))]
     keyed = df
@@ -33,13 +41,13 @@ def global_rank(
             .select(*group, F.coalesce(F.sum("_s").over(running), F.lit(0)).alias("_level"))
         )
         offsets = (
-            offsets.join(level, group)
+            _null_safe(offsets, level, group)
             .withColumn("_before", F.col("_before") + F.col("_level"))
             .drop("_level")
         )
     inside = Window.partitionBy(*keys).orderBy(last)
     return (
-        keyed.join(offsets.drop("_size"), keys)
+        _null_safe(keyed, offsets.drop("_size"), keys)
         .withColumn(name, (F.col("_before") + F.row_number().over(inside)).cast("bigint"))
         .drop("_before", *keys)
     )

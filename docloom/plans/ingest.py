@@ -22,15 +22,15 @@ class IngestRun:
 
 def run(
     discovered: DataFrame, catalog: DataFrame, tombstones: DataFrame, *, ingested_at: str,
-    max_per_source: int | None = 10, max_documents: int | None = None, cfg: Settings = DEFAULT,
+    max_per_source: int | None = None, max_documents: int | None = None, cfg: Settings = DEFAULT,
 ) -> IngestRun:
-    """Admit new clean documents, merge them, keep the newest, remember what was pruned."""
+    """Admit new clean documents, merge them, keep the newest if a number is given, remember what was pruned."""
     admitted = cat.admit(discovered, catalog, ingested_at, max_per_source=max_per_source)
     new = admitted.filter(F.col("outcome") == "ingested").select(
         *[c for c in catalog.columns if c != "chronological_rank"]
     )
     merged = catalog.drop("chronological_rank").unionByName(new)
-    kept, pruned = cat.retain_newest(merged, max_documents, cfg)
+    kept, pruned = cat.retain_newest(merged, max_documents)
     log = (
         audit.log_rows(
             admitted.filter(F.col("outcome") == "ingested"), "document_ingested", ingested_at,

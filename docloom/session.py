@@ -45,8 +45,10 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a local one only where it is unset."""
+    """The shared folder named by ``spark.checkpoint.dir``; a local one only in local mode."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured is None and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return configured or os.path.join(tempfile.gettempdir(), "docloom-work")
 
 

@@ -17,13 +17,11 @@ CONTENT_TYPES = ("pdf", "html")
 
 
 def read_files(spark: SparkSession, path: str, cfg: Settings = DEFAULT) -> DataFrame:
-    """Files within the size cap: path, length, content.  The cap prunes before reading."""
+    """Files with path, length, content; one beyond the size cap has no content, which is not read."""
     limit = cfg.max_download_mb * 1024 * 1024
-    return (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-        .filter(F.col("length") <= limit)
-        .select("path", "length", "content")
-    )
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    large = files.filter(F.col("length") > limit).select("path", "length", F.lit(None).cast("binary").alias("content"))
+    return files.filter(F.col("length") <= limit).select("path", "length", "content").unionByName(large)
 
 
 def pdf_pages(content: bytes) -> list[dict]:
@@ -69,7 +67,8 @@ def with_file_pages(rows: DataFrame, pdf_extractor=extract_pdf) -> DataFrame:
             ),
         )
         out = df.withColumn("pages", F.filter(normal, lambda p: p["text"] != ""))
-        return out.withColumn("error", F.when(F.size("pages") == 0, reason))
+        missing = F.when(F.col("content").isNull(), "content beyond the size cap").otherwise(reason)
+        return out.withColumn("error", F.when(F.size("pages") == 0, missing))
 
     html = rows.filter(F.col("content_type") == "html")
     text = F.decode("content", "UTF-8")

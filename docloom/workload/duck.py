@@ -143,7 +143,7 @@ def pii(x: str) -> str:
 
 # --- derived tables -------------------------------------------------------------------
 
-_TITLE = strip("left(split_part(text, chr(10), 1), 90)")
+_TITLE = strip("split_part(text, chr(10), 1)")
 
 CTES = {
     "base": f"""
@@ -201,10 +201,10 @@ CTES = {
             when 3 then 'Summarize the clinical findings of ' || d.document_title
             when 4 then d.document_title || ' treatment. Published: ' || d.publication_date
             when 5 then c.text
-            when 6 then 'How much pizza can a kid eat with ' || left(c.text, 40)
+            when 6 then 'How much pizza can a kid eat with ' || c.text
             when 7 then 'Which treatment is described for ' || d.document_title
-            when 8 then 'quantum computing of ' || left(c.text, 60)
-            else 'Explain the health research on ' || left(split_part(d.text, chr(10), 2), 120) end as question
+            when 8 then 'quantum computing of ' || c.text
+            else 'Explain the health research on ' || split_part(d.text, chr(10), 2) end as question
         from conversations c join full_catalog d on c.conv_id = d.doc_id
         where c.role = 'user'""",
 }

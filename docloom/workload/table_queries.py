@@ -89,22 +89,22 @@ def newest_documents(spark, sf):
 
 
 _MERGED = """merged as (
-    select document_id, publication_date, ingested_at, document_title from catalog where doc_id % 2 = 0 and doc_id % 3 <> 0
-    union all select document_id, publication_date, '2026-06-11T00:00:00Z', document_title || ' (new)' from catalog where doc_id % 3 = 0)"""
+    select document_id, publication_date, ingested_at, document_title from catalog where doc_id not in (select doc_id from labels)
+    union all select document_id, publication_date, '2026-06-11T00:00:00Z', document_title || ' (new)' from catalog where doc_id in (select doc_id from labels))"""
 
 
 @add("upsert_merge", duck.query(
     f"select document_id, ingested_at, document_title, {_RANK} as chronological_rank from merged", "catalog", extra=_MERGED))
 def upsert_merge(spark, sf):
     rows = tables.catalog(spark, sf)
-    old = rows.filter(F.col("doc_id") % 2 == 0)
-    new = rows.filter(F.col("doc_id") % 3 == 0).withColumns(
+    revised = tables.table(spark, sf, "labels").select("doc_id")
+    new = rows.join(revised, "doc_id", "left_semi").withColumns(
         {
             "ingested_at": F.lit("2026-06-11T00:00:00Z"),
             "document_title": F.concat("document_title", F.lit(" (new)")),
         }
     )
-    return cat.upsert(old, new).select("document_id", "ingested_at", "document_title", "chronological_rank")
+    return cat.upsert(rows, new).select("document_id", "ingested_at", "document_title", "chronological_rank")
 
 
 @add("retention_prune", duck.query(
@@ -161,7 +161,7 @@ def source_chunks(spark, sf):
 
 
 @add("best_chunk_per_doc", duck.query(
-    f"""select source as document_id, chunk_id, score::bigint as score, sha256(left(t, 2000)) as digest from (
+    f"""select source as document_id, chunk_id, score::bigint as score, sha256(t) as digest from (
         select *, length(t) + case when contains(lower(left(t, 200)), 'abstract') then 500 else 0 end as score,
             row_number() over (partition by source order by length(t) + case when contains(lower(left(t, 200)), 'abstract') then 500 else 0 end desc, doc_id) as r
         from (select *, trim(exact_context) as t from chunks) where t <> '' and not {duck.is_placeholder('t')} and not {duck.is_boilerplate('t')}) where r = 1""", "chunks"))
@@ -211,13 +211,13 @@ def hash_skip(spark, sf):
 
 
 @add("vector_upsert", duck.query(
-    """select vec_id, label::bigint as label from embeddings where vec_id % 2 = 0 and vec_id % 3 <> 0
-       union all select vec_id, label + 100 from embeddings where vec_id % 3 = 0"""))
+    """select vec_id, label::bigint as label from embeddings where vec_id not in (select doc_id from labels)
+       union all select vec_id, label + 100 from embeddings where vec_id in (select doc_id from labels)"""))
 def vector_upsert(spark, sf):
     unit = vector.unit_vectors(tables.table(spark, sf, "embeddings"))
-    old = unit.filter(F.col("vec_id") % 2 == 0)
-    new = vector.require_unit(unit.filter(F.col("vec_id") % 3 == 0)).withColumn("label", F.col("label") + 100)
-    return merge.upsert(old, new, "vec_id").select("vec_id", F.col("label").cast("bigint").alias("label"))
+    revised = tables.table(spark, sf, "labels").select(F.col("doc_id").alias("vec_id"))
+    new = vector.require_unit(unit.join(revised, "vec_id", "left_semi")).withColumn("label", F.col("label") + 100)
+    return merge.upsert(unit, new, "vec_id").select("vec_id", F.col("label").cast("bigint").alias("label"))
 
 
 @add("upsert_payload", duck.query(
@@ -457,7 +457,7 @@ def starter_prompts(spark, sf):
 
 # --- answers --------------------------------------------------------------------------
 
-_ANSWER = """'**Summary:** ' || left(text, 60) || case conv_id % 4 when 0 then ' [1] and [2]' when 1 then ' [12] [3][1]' when 2 then '' else ' does not contain it [1]' end
+_ANSWER = """'**Summary:** ' || text || case conv_id % 4 when 0 then ' [1] and [2]' when 1 then ' [12] [3][1]' when 2 then '' else ' does not contain it [1]' end
     || chr(10) || '- point [' || (turn + 1) || ']'"""
 
 
@@ -466,7 +466,7 @@ def _answers(spark, sf):
     return tables.table(spark, sf, "conversations").select(
         "conv_id", "turn",
         F.concat(
-            F.lit("**Summary:** "), F.substring("text", 1, 60),
+            F.lit("**Summary:** "), F.col("text"),
             F.when(c == 0, " [1] and [2]").when(c == 1, " [12] [3][1]").when(c == 2, "")
             .otherwise(" does not contain it [1]"),
             F.lit("\n- point ["), (F.col("turn") + 1).cast("string"), F.lit("]"),
@@ -625,10 +625,12 @@ def publication_listing(spark, sf):
 
 
 @add("listing_discovery", duck.query(
-    """select count(*) as items from (select min(url) from pages where page_id <= 7 group by url limit 5)"""))
+    """with seen as (select url, min(page_id) as page from pages group by url),
+         ended as (select coalesce(min(page_id), 9223372036854775807) as page from pages where page_id not in (select page from seen))
+       select url as source_url, min(page_id) as position from pages where page_id <= (select page from ended) group by url"""))
 def listing_discovery(spark, sf):
     rows = tables.table(spark, sf, "pages").select(
         (F.col("page_id") + 1).alias("page_order"), F.col("url").alias("source_url"),
         F.lit("2026-06-01").alias("publication_date"), F.col("page_id").alias("position"),
     )
-    return listing.paged_discovery(rows, 5).agg(F.count("*").alias("items"))
+    return listing.paged_discovery(rows).select("source_url", "position")

@@ -43,7 +43,7 @@ def with_catalog_columns(docs: DataFrame) -> DataFrame:
         .otherwise(F.concat(F.lit("https://www.icmr.gov.in/reports/"), d.cast("string"))),
     )
     out = out.withColumn(
-        "document_title", strip(F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, 90))
+        "document_title", strip(F.split_part("text", F.lit("\n"), F.lit(1)))
     )
     doc = identity.document_id(F.col("source_url"), F.col("document_title"))
     return out.withColumns(
@@ -137,12 +137,12 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == 5, F.col("text"))
         .when(
             kind == 6,
-            F.concat(F.lit("How much pizza can a kid eat with "), F.substring("text", 1, 40)),
+            F.concat(F.lit("How much pizza can a kid eat with "), F.col("text")),
         )
         .when(kind == 7, F.concat(F.lit("Which treatment is described for "), F.col("document_title")))
-        .when(kind == 8, F.concat(F.lit("quantum computing of "), F.substring("text", 1, 60)))
+        .when(kind == 8, F.concat(F.lit("quantum computing of "), F.col("text")))
         .otherwise(
-            F.concat(F.lit("Explain the health research on "), F.substring("second_line", 1, 120))
+            F.concat(F.lit("Explain the health research on "), F.col("second_line"))
         )
     )
     return turns.join(docs, turns["conv_id"] == docs["doc_id"]).select(

@@ -96,8 +96,8 @@ def sentence_split(spark, sf):
 # Real pages mix prose with page furniture; here each document gets some lines of it.
 _FURNITURE_SQL = """(case doc_id % 5
     when 0 then 'Share this article' || chr(10) || text || chr(10) || 'Keywords: a, b' || chr(10) || '/s41467-026-73798-3'
-    when 1 then 'Download PDF ' || left(text, 60)
-    when 2 then 'Get shareable link now. ' || left(text, 40) || ' end.'
+    when 1 then 'Download PDF ' || text
+    when 2 then 'Get shareable link now. ' || text || ' end.'
     when 3 then 'mock ingest content ' || text
     else text end)"""
 
@@ -106,8 +106,8 @@ def _furniture():
     d, t = F.col("doc_id") % 5, F.col("text")
     return (
         F.when(d == 0, F.concat(F.lit("Share this article\n"), t, F.lit("\nKeywords: a, b\n/s41467-026-73798-3")))
-        .when(d == 1, F.concat(F.lit("Download PDF "), F.substring(t, 1, 60)))
-        .when(d == 2, F.concat(F.lit("Get shareable link now. "), F.substring(t, 1, 40), F.lit(" end.")))
+        .when(d == 1, F.concat(F.lit("Download PDF "), t))
+        .when(d == 2, F.concat(F.lit("Get shareable link now. "), t, F.lit(" end.")))
         .when(d == 3, F.concat(F.lit("mock ingest content "), t))
         .otherwise(t)
     )
