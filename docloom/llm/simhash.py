@@ -72,20 +72,29 @@ def crowded(fps: DataFrame) -> DataFrame:
     A bucket holds distinct fingerprints that differ in the blank and two bits at most.
     """
     width = 64 // BLANKS
-    keys = []
+    low = (1 << width) - 1
+    parts, back = [], F.lit(None).cast("long")
     for block in range(BLANKS):
-        blank = ((1 << width) - 1) << (block * width)
-        rest = ~blank & (1 << 64) - 1
-        base = F.col("fp").bitwiseAND(F.lit(_signed(rest)).cast("long"))
+        rest = ~(low << block * width) & (1 << 64) - 1
         own = _flips([0, *(1 << b for b in range(64) if rest >> b & 1)])
-        keys.append(fps.select("fp", F.lit(block).cast("byte").alias("block"), F.explode(own).alias("flip"), base.alias("base"))
-                    .select("fp", "block", F.col("base").bitwiseXOR(F.col("flip")).alias("key")))
-    variants = keys[0]
-    for more in keys[1:]:
+        # The key's blank holds the block's number; what leaves the fingerprint out of the key
+        # (the blanked bits and the flip's place) fits an int, which keeps the shuffle narrow.
+        mark = F.lit(_signed((block + 1) << block * width)).cast("long")
+        base = F.col("fp").bitwiseAND(F.lit(_signed(rest)).cast("long")).bitwiseOR(mark)
+        blanked = F.shiftrightunsigned("fp", block * width).bitwiseAND(F.lit(low).cast("long")).cast("int")
+        parts.append(fps.select(base.alias("base"), blanked.alias("blanked"), F.posexplode(own).alias("place", "flip")).select(
+            F.col("base").bitwiseXOR(F.col("flip")).alias("key"),
+            F.col("blanked").bitwiseOR(F.shiftleft("place", width)).bitwiseOR(F.lit(block << width + 6)).alias("left_out")))
+        key = F.col("key").bitwiseAND(F.lit(_signed(rest)).cast("long"))
+        flip = F.element_at(own, F.shiftright("left_out", width).bitwiseAND(F.lit(63)) + 1)
+        bits = F.shiftleft(F.col("left_out").bitwiseAND(F.lit(low)).cast("long"), block * width)
+        back = F.when(F.shiftright("left_out", width + 6) == block, key.bitwiseXOR(flip).bitwiseOR(bits)).otherwise(back)
+    variants = parts[0]
+    for more in parts[1:]:
         variants = variants.union(more)
-    bucket = Window.partitionBy("key", "block").orderBy("fp")
-    near = variants.withColumn("_before", F.lag("fp").over(bucket)).withColumn("_after", F.lead("fp").over(bucket))
-    return near.where(F.col("_before").isNotNull() | F.col("_after").isNotNull()).select("fp").distinct()
+    bucket = Window.partitionBy("key").orderBy("left_out")
+    near = variants.withColumn("_before", F.lag("left_out").over(bucket)).withColumn("_after", F.lead("left_out").over(bucket))
+    return near.where(F.col("_before").isNotNull() | F.col("_after").isNotNull()).select(back.alias("fp")).distinct()
 
 
 def links(fps: DataFrame) -> DataFrame:
