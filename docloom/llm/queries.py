@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import decontam, langid, pii, quality_cnn, rules, simhash, substrings, tokens, toxicity
+from docloom.llm import decontam, langid, oracles, pii, quality_cnn, rules, simhash, substrings, tokens, toxicity
 from docloom.llm.common import fold, labelled_sample
 
 
@@ -100,4 +100,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
     "op5_token_counts": op5_token_counts,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = dict(oracles.ORACLES)
