@@ -68,8 +68,8 @@ def code_points(texts: pa.Array, pad: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, max_rows: int,
-                    max_text_bytes: int, id_col: str, text_col: str) -> list[tuple[str, int]]:
-    """At most ``max_rows`` labelled texts for which ``usable`` (over the id) holds.
+                    max_text_bytes: int, id_col: str, text_col: str) -> DataFrame:
+    """Columns text and label of at most ``max_rows`` labelled texts whose ids are ``usable``.
 
     The rows are those with the smallest hash of their id, so the choice does not depend on
     the layout of the table.  Texts beyond ``max_text_bytes`` are not learned from.  The
@@ -80,10 +80,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Colu
         .groupBy(id_col).agg(F.max(label).alias("_label"))
         .orderBy(F.xxhash64(id_col), id_col).limit(max_rows)
     )
-    rows = (
+    return (
         docs.select(id_col, F.col(text_col).alias("_text")).where(F.octet_length("_text") <= max_text_bytes)
         .join(F.broadcast(chosen), id_col)
         .orderBy(F.xxhash64(id_col), id_col, "_text").limit(max_rows)
-        .select("_text", F.col("_label").cast("int")).collect()
+        .select(F.col("_text").alias("text"), F.col("_label").cast("int").alias("label"))
     )
-    return [(r[0], int(r[1])) for r in rows]

@@ -26,7 +26,7 @@ TOXIC_ROWS, LEARNED_BYTES = 3_600, 1 << 18
 
 def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.ToxicityModel:
     """Learned from at most TOXIC_ROWS labelled documents outside the held-out fold."""
-    return toxicity.fit(labelled_sample(docs, labels, "toxic", fold("doc_id", 3) != 1, TOXIC_ROWS, LEARNED_BYTES, "doc_id", "text"))
+    return toxicity.fit_in_task(labelled_sample(docs, labels, "toxic", fold("doc_id", 3) != 1, TOXIC_ROWS, LEARNED_BYTES, "doc_id", "text"))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +42,8 @@ QUALITY_ROWS = 3_000
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     rows = labelled_sample(docs, labels, "quality", fold("doc_id", 5) != 0, QUALITY_ROWS, LEARNED_BYTES, "doc_id", "text")
-    return quality_cnn.score(docs, quality_cnn.fit(rows)).select(
+    model = quality_cnn.fit([(r["text"], r["label"]) for r in rows.collect()])
+    return quality_cnn.score(docs, model).select(
         "doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= 0.3).cast("int").alias("predicted"))
 

@@ -16,6 +16,8 @@ from docloom.llm.langid import letters
 
 ORDERS = (3, 4, 5)
 BITS = 17
+# Neutral words that every bag also holds, so that a few words do not make a verdict.
+NEUTRAL = 5
 
 
 @dataclass
@@ -76,7 +78,7 @@ class ToxicityModel:
         sizes = np.diff(np.append(words.word_starts, len(words.buckets)))
         own = np.zeros(0) if not len(sizes) else np.add.reduceat(self.logits[words.buckets], words.word_starts, dtype=np.float64) / sizes
         ends = np.concatenate(([0.0], np.cumsum(own)))
-        bag = np.diff(ends[words.text_words]) / np.maximum(np.diff(words.text_words), 1)
+        bag = np.diff(ends[words.text_words]) / (np.diff(words.text_words) + NEUTRAL)
         return 1 / (1 + np.exp(-np.clip(bag + self.bias, -60, 60)))
 
 
@@ -86,7 +88,7 @@ def _shares(texts: list[str], first: int) -> tuple[np.ndarray, np.ndarray, np.nd
     sizes = np.diff(np.append(words.word_starts, len(words.buckets)))
     count = np.diff(words.text_words)
     text = np.repeat(np.repeat(np.arange(len(texts)), count), sizes)
-    share = np.repeat(100 / (np.repeat(np.maximum(count, 1), count) * sizes), sizes)
+    share = np.repeat(100 / (np.repeat(count + NEUTRAL, count) * sizes), sizes)
     cell, place = np.unique(text << BITS | words.buckets, return_inverse=True)
     return (cell >> BITS).astype(np.int32) + np.int32(first), (cell & (1 << BITS) - 1).astype(np.int32), np.bincount(place, share, len(cell)).astype(np.float32)
 
@@ -137,6 +139,18 @@ def fit(rows: list[tuple[str, int]], dims: int = 16, epochs: int = 120, rate: fl
     return ToxicityModel(logits, float(bias[1] - bias[0]))
 
 
+def fit_in_task(rows: DataFrame) -> ToxicityModel:
+    """``fit`` on a bounded table (text, label), in one task, so that the driver only gets the model."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = [x for b in batches for x in zip(b.column("text").to_pylist(), b.column("label").to_pylist())]
+        model = fit(own)
+        yield pa.RecordBatch.from_arrays([pa.array([model.logits.tobytes()]), pa.array([model.bias])], names=["logits", "bias"])
+
+    got = rows.repartition(1).mapInArrow(run, "logits binary, bias double").first()
+    return ToxicityModel(np.frombuffer(got["logits"], np.float32), got["bias"])
+
+
 def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns and ``score`` (0 to 1) of every whole text.
 
