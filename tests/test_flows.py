@@ -82,6 +82,34 @@ def test_paged_discovery_stops(spark):
     assert {r.source_url for r in listing.paged_discovery(items, 2).collect()} == {"a", "b"}
 
 
+def test_paged_discovery_ends_at_gaps_and_repeats(spark):
+    schema = "page_order int, source_url string, publication_date string, position int"
+
+    def found(rows, cap=None):
+        items = spark.createDataFrame([(p, u, "2026-06-01", i) for i, (p, u) in enumerate(rows)], schema)
+        return {r.source_url for r in listing.paged_discovery(items, cap).collect()}
+
+    assert found([(1, "a"), (2, "b"), (4, "c")]) == {"a", "b"}
+    assert found([(2, "b"), (3, "c")]) == set() == found([])
+    assert found([(1, "a"), (2, "b"), (3, "c"), (3, "d"), (4, "e")], 3) == {"a", "b", "c"}
+    assert found([(p, f"u{p}") for p in range(1, 40)]) == {f"u{p}" for p in range(1, 40)}
+
+
+def test_ranks_and_upserts_keep_every_row(spark):
+    columns = "document_id string, publication_date string, ingested_at string, document_title string, source_url string"
+    rows = [("a", "2026-05-01", "2026-06-01T00:00:00Z", "t", "u"), ("b", None, "2026-06-01T00:00:00Z", "t", "u"), ("c", None, None, "t", "u")]
+    catalog = spark.createDataFrame(rows, columns)
+    ranked = {r.document_id: r.chronological_rank for r in cat.rank_newest_first(catalog).collect()}
+    assert ranked == {"a": 1, "b": 2, "c": 3}
+    kept, gone = cat.retain_newest(catalog, 1)
+    assert [r.document_id for r in kept.collect()] == ["a"] and {r.document_id for r in gone.collect()} == {"b", "c"}
+    assert cat.retain_newest(catalog, None)[0].count() == 3
+    twice = spark.createDataFrame([("b", "2026-05-09", "2026-06-02T00:00:00Z", "old", "u"), ("b", "2026-05-09", "2026-06-03T00:00:00Z", "new", "u")], columns)
+    merged = {r.document_id: r.document_title for r in cat.upsert(catalog, twice).collect()}
+    assert merged == {"a": "t", "b": "new", "c": "t"} and cat.upsert(catalog, twice).count() == 3
+    assert merge.upsert(catalog, twice, "document_id").count() == 3
+
+
 def test_crawl_frontier(spark):
     links = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("b", "a")], "page_url string, target string")
     start = spark.createDataFrame([("a",)], "url string")
@@ -153,7 +181,8 @@ def test_files_by_content_type(spark, tmp_path):
     rows = files.read_files(spark, str(tmp_path), DEFAULT.with_(max_download_mb=1)).withColumn(
         "content_type", F.element_at(F.split("path", r"\."), -1))
     got = {pathlib.Path(r.path).name: (len(r.pages), r.error) for r in files.with_file_pages(rows).collect()}
-    assert got == {"a.html": (3, None), "b.pdf": (0, "not a PDF"), "c.doc": (0, "unsupported content type: doc")}
+    assert got == {"a.html": (3, None), "b.pdf": (0, "not a PDF"), "c.doc": (0, "unsupported content type: doc"),
+                   "big.html": (0, "content beyond the size cap")}
 
 
 # --- catalog and merges ---------------------------------------------------------------

@@ -116,11 +116,18 @@ def test_nearest_many_equals_brute_force(spark):
         return [x / n for x in v]
 
     units = {i: unit(v) for i, v in rows}
-    vector.QUERY_SLICE, before = 5, vector.QUERY_SLICE  # several slices
+    before = vector.CELL_ROWS, vector.CELL_QUERIES
+    vector.CELL_ROWS, vector.CELL_QUERIES = 60, 5  # a grid of several cells
     try:
-        got = vector.nearest_many(table, queries, 4).orderBy("qid", "rank").collect()
+        repeated = queries.union(queries.filter("qid = 3"))  # an equal query is one query
+        got = vector.nearest_many(table, repeated, 4).orderBy("qid", "rank").collect()
+        unnamed = queries.filter("qid < 2").select(F.lit(None).cast("int").alias("qid"), "embedding")
+        null = vector.nearest_many(table, unnamed, 4).collect()
+        nothing = vector.nearest_many(table, queries.limit(0), 4).count() + vector.nearest_many(table.limit(0), queries, 4).count()
     finally:
-        vector.QUERY_SLICE = before
+        vector.CELL_ROWS, vector.CELL_QUERIES = before
+    assert len(got) == 12 * 4 and nothing == 0
+    assert sorted((r.rank, r.chunk_id) for r in null) == sorted((r.rank, r.chunk_id) for r in got if r.qid < 2)
     for q in range(12):
         order = sorted(units, key=lambda i: (round(1 - sum(a * b for a, b in zip(units[q], units[i])), 9), i))[:4]
         assert [r.chunk_id for r in got if r.qid == q] == order
