@@ -167,6 +167,19 @@ def admission_counts(admitted: DataFrame) -> DataFrame:
     )
 
 
+def files_with_log(files: DataFrame, log: DataFrame) -> DataFrame:
+    """Stored files (path) with the latest log row of their document, if there is one.
+
+    A file is named after its document id with ':' as '_', so the match is an equality.
+    Columns: path, document_id, ingested_at, known.
+    """
+    stem = F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1)
+    latest = log.groupBy("document_id").agg(F.max("ingested_at").alias("ingested_at")).withColumn(
+        "_stem", F.translate("document_id", ":", "_"))
+    return files.withColumn("_stem", stem).join(latest, "_stem", "left").select(
+        "path", "document_id", "ingested_at", F.col("document_id").isNotNull().alias("known"))
+
+
 def best_chunk_per_document(chunks: DataFrame) -> DataFrame:
     """The most substantive chunk of each document: longest, abstracts preferred.
 

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, NumericType, StringType
 
 from docloom.functions import identity, quality, urls
 
@@ -59,6 +60,15 @@ def delete_documents(stored: DataFrame, tombstones: DataFrame) -> DataFrame:
     return keyed.join(gone, "_document", "left_anti").drop("_document")
 
 
+def clear_tombstones(tombstones: DataFrame, stored: DataFrame) -> DataFrame:
+    """Tombstones that still have work to do: their document has rows in ``stored``.
+
+    After a complete cascade none is left; one that a failed cascade did not reach stays.
+    """
+    left = stored.select(identity.document_of_chunk(F.col("chunk_id")).alias("document_id")).distinct()
+    return tombstones.join(left, "document_id", "left_semi")
+
+
 def count_deletions(stored: DataFrame, tombstones: DataFrame) -> DataFrame:
     """How many rows a cascade would delete; the dry run."""
     gone = tombstones.select(F.col("document_id").alias("_document")).distinct()
@@ -120,9 +130,23 @@ def metadata_view(chunks: DataFrame) -> DataFrame:
     )
 
 
+def require_scalars(metadata: DataFrame) -> DataFrame:
+    """``metadata`` if every column is a string, number or boolean; TypeError names the others."""
+    wrong = [f.name for f in metadata.schema if not isinstance(f.dataType, (StringType, NumericType, BooleanType))]
+    if wrong:
+        raise TypeError(f"metadata fields that are not scalars: {', '.join(wrong)}")
+    return metadata
+
+
+def missing_metadata(metadata: DataFrame) -> DataFrame:
+    """field, missing: how many rows lack a value of each scalar field; a store takes no NULLs."""
+    counted = require_scalars(metadata).agg(*(F.count_if(F.col(c).isNull()).alias(c) for c in metadata.columns))
+    return counted.unpivot([], metadata.columns, "field", "missing")
+
+
 def upsert_payload(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
     """Ids, vectors, texts and metadata of one write, matched by chunk id."""
-    meta = metadata_view(chunks)
+    meta = require_scalars(metadata_view(chunks))
     return meta.join(vectors.select("chunk_id", "embedding"), "chunk_id").select(
         F.col("chunk_id").alias("id"),
         "embedding",

@@ -266,6 +266,39 @@ def orphan_delete(spark, sf):
     )
 
 
+@add("tombstone_clear", duck.query(
+    """select document_id from catalog where doc_id in (select doc_id from labels where quality = 0)
+       and doc_id not in (select doc_id from labels where toxic = 1)""", "catalog"))
+def tombstone_clear(spark, sf):
+    """Low-quality and toxic documents have tombstones; the cascade has reached the toxic ones."""
+    rows, labels = tables.catalog(spark, sf), tables.table(spark, sf, "labels")
+    toxic = rows.join(labels.filter("toxic = 1"), "doc_id", "left_semi").select("document_id")
+    marked = rows.join(labels.filter("toxic = 1 or quality = 0"), "doc_id", "left_semi").select("document_id")
+    left = merge.delete_documents(tables.document_chunks(spark, sf), toxic)
+    return merge.clear_tombstones(marked, left)
+
+
+@add("log_join", duck.query(
+    """select local_path as path, case when l.doc_id is not null then document_id end as document_id,
+        case when l.doc_id is not null then ingested_at end as ingested_at, l.doc_id is not null as known
+       from catalog c left join (select distinct doc_id from labels) l using (doc_id)""", "catalog"))
+def log_join(spark, sf):
+    """Files of all documents; those with a label are in the ingestion log."""
+    rows = tables.catalog(spark, sf)
+    log = rows.join(tables.table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
+    return cat.files_with_log(rows.select(F.col("local_path").alias("path")), log.select("document_id", "ingested_at"))
+
+
+_FIELDS = ("source_url", "document_title", "publication_year", "page_number", "exact_context",
+           "verification_status", "source_org", "chunk_id", "content_hash")
+
+
+@add("metadata_check", duck.query(
+    " union all ".join(f"select '{f}' as field, count(*) filter ({f} is null) as missing from chunks" for f in _FIELDS), "chunks"))
+def metadata_check(spark, sf):
+    return merge.missing_metadata(merge.metadata_view(tables.document_chunks(spark, sf)))
+
+
 @add("tombstone_append", duck.query(
     """select document_id, count(*) as times from (select document_id from catalog where doc_id % 3 = 0
        union all select document_id from catalog where doc_id % 5 = 0) group by document_id""", "catalog"))
