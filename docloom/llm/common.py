@@ -58,6 +58,30 @@ def texts_of(batch: pa.RecordBatch, text: str) -> pa.Array:
     return pc.fill_null(batch.column(text), "")
 
 
+def pieces(texts: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[np.ndarray, pa.Array]]:
+    """Texts in order, very long ones cut after spaces: groups of (number of the text, piece).
+
+    A group has about ``limit`` characters, so what is derived from it stays bounded; a run
+    of more than ``limit`` characters without a space is cut where it is.
+    """
+    owner, held, total = [], [], 0
+    for k, text in enumerate(texts.to_pylist()):
+        start = 0
+        while True:
+            end = len(text) if len(text) - start <= limit else (text.rfind(" ", start, start + limit) + 1 or start + limit)
+            owner.append(k)
+            held.append(text[start:end])
+            total += end - start
+            if total >= limit:
+                yield np.array(owner), pa.array(held, pa.string())
+                owner, held, total = [], [], 0
+            start = end
+            if start >= len(text):
+                break
+    if held:
+        yield np.array(owner), pa.array(held, pa.string())
+
+
 def code_points(texts: pa.Array, pad: int) -> tuple[np.ndarray, np.ndarray]:
     """Code points of lower-cased texts, each followed by ``pad`` spaces, and the start of each text."""
     parts = [t.lower() for t in texts.to_pylist()]

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from docloom.llm.common import code_points, slices, texts_of
+from docloom.llm.common import code_points, pieces, slices, texts_of
 
 ORDERS = (1, 2, 3)
 _LETTERS: list[np.ndarray] = []
@@ -70,15 +70,16 @@ def train(docs: DataFrame, usable: Column, text_col: str = "text", lang_col: str
         sums: dict[str, np.ndarray] = {}
         for batch in (s for b in batches for s in slices(b, "_text")):
             names = batch.column("_lang").to_pylist()
-            found, starts, _ = grams(texts_of(batch, "_text"), bits)
-            sizes = np.diff(np.append(starts, found.shape[1]))
             known = {name: k for k, name in enumerate(dict.fromkeys(names))}
-            owner = np.repeat([known[x] for x in names], sizes) << bits
-            counts = sum(np.bincount(owner + row, minlength=len(known) << bits) for row in found).reshape(len(known), -1)
-            for name, k in known.items():
-                own = sums.setdefault(name, np.zeros((1 << bits) + 1, np.int64))
-                own[:-1] += counts[k]
-                own[-1] += names.count(name)  # the last cell counts documents
+            lang = np.array([known[x] for x in names])
+            for owner, part in pieces(texts_of(batch, "_text")):
+                found, starts, _ = grams(part, bits)
+                at = np.repeat(lang[owner], np.diff(np.append(starts, found.shape[1]))) << bits
+                counts = sum(np.bincount(at + row, minlength=len(known) << bits) for row in found).reshape(len(known), -1)
+                for name, k in known.items():
+                    sums.setdefault(name, np.zeros((1 << bits) + 1, np.int64))[:-1] += counts[k]
+            for name in known:
+                sums[name][-1] += names.count(name)  # the last cell counts documents
         for name, own in sums.items():
             at = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(at, pa.int32()), pa.array(own[at])], names=["lang", "bucket", "n"])
@@ -109,13 +110,15 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in (s for b in batches for s in slices(b, "_text", 4 << 20)):
-            found, starts, lettered = grams(texts_of(batch, "_text"), model.bits)
-            names, score = np.full(len(starts), "und", object), np.zeros(len(starts))
+            names, score = np.full(batch.num_rows, "und", object), np.zeros(batch.num_rows)
             if model.names:
-                total = np.zeros((len(starts), len(model.names)))
-                for k in range(len(model.names)):
-                    own = np.ascontiguousarray(model.weights[:, k])
-                    total[:, k] = np.add.reduceat(sum(own[row] for row in found).astype(np.float64), starts) + model.priors[k]
+                total, lettered = np.tile(model.priors, (batch.num_rows, 1)), np.zeros(batch.num_rows, bool)
+                for owner, part in pieces(texts_of(batch, "_text")):
+                    found, starts, any_letter = grams(part, model.bits)
+                    np.logical_or.at(lettered, owner, any_letter)
+                    for k in range(len(model.names)):
+                        own = np.ascontiguousarray(model.weights[:, k])
+                        np.add.at(total[:, k], owner, np.add.reduceat(sum(own[row] for row in found).astype(np.float64), starts))
                 total -= total.max(axis=1, keepdims=True)
                 share = np.exp(total)
                 best = total.argmax(axis=1)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from docloom.llm.common import code_points, slices, texts_of
+from docloom.llm.common import code_points, pieces, slices, texts_of
 from docloom.llm.langid import letters
 
 ORDERS = (3, 4, 5)
@@ -74,11 +74,15 @@ class ToxicityModel:
     bias: float
 
     def score(self, texts: pa.Array) -> np.ndarray:
-        words = subwords(texts)
-        sizes = np.diff(np.append(words.word_starts, len(words.buckets)))
-        own = np.zeros(0) if not len(sizes) else np.add.reduceat(self.logits[words.buckets], words.word_starts, dtype=np.float64) / sizes
-        ends = np.concatenate(([0.0], np.cumsum(own)))
-        bag = np.diff(ends[words.text_words]) / (np.diff(words.text_words) + NEUTRAL)
+        total, many = np.zeros(len(texts)), np.zeros(len(texts))
+        for owner, part in pieces(texts):
+            words = subwords(part)
+            sizes = np.diff(np.append(words.word_starts, len(words.buckets)))
+            own = np.zeros(0) if not len(sizes) else np.add.reduceat(self.logits[words.buckets], words.word_starts, dtype=np.float64) / sizes
+            ends = np.concatenate(([0.0], np.cumsum(own)))
+            np.add.at(total, owner, np.diff(ends[words.text_words]))
+            np.add.at(many, owner, np.diff(words.text_words))
+        bag = total / (many + NEUTRAL)
         return 1 / (1 + np.exp(-np.clip(bag + self.bias, -60, 60)))
 
 

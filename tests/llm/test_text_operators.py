@@ -222,6 +222,20 @@ def test_language_model(spark, docs):
         langid.train(train, F.lit(True), max_languages=1)
 
 
+def test_pieces_hold_every_character_once():
+    from docloom.llm.common import pieces
+    texts = ["", "ab cd", "x" * 95, "word " * 60, "last"]
+    whole, sizes = [""] * len(texts), []
+    for owner, part in pieces(pa.array(texts), 40):
+        sizes.append(sum(map(len, part.to_pylist())))
+        for k, p in zip(owner, part.to_pylist()):
+            whole[k] += p
+    assert whole == texts and max(sizes) < 80
+    model = toxicity.fit([("bad bad word", 1)] * 9 + [("good fine word", 0)] * 20)
+    long = "good fine bad word " * 120_000
+    assert model.score(pa.array([long]))[0] == pytest.approx(model.score(pa.array(["good fine bad word " * 60_000]))[0], abs=1e-3)
+
+
 def test_suffix_sort_against_plain_sort():
     rng = np.random.default_rng(4)
     data = rng.integers(97, 99, 4000).astype(np.uint8)
