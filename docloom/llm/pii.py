@@ -32,6 +32,8 @@ GIVEN_CYRILLIC = {
 }
 # End of the fixed values.
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+# Whatever has an entity has one of these; texts without them are not searched further.
+HINT = r"[0-9@]|[a-fA-F]{32}|AKIA|(?:sk|pk|ghp|gho|xoxb|xoxp)[-_]|[FHMSГ](?:" + "|".join(t[1:] for of in TITLES.values() for t in of) + r")[. ]"
 _DIGITS = ("card", "ssn", "phone")
 MOST_ATTEMPTS = 40
 
@@ -144,7 +146,8 @@ def dress(kind: Column, raw: Column, made: Column) -> Column:
 
 def _found(text: Column) -> Column:
     """Entities of a text in order, as (kind, raw, canon)."""
-    typed = F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda raw: F.struct(_kind(raw).alias("kind"), raw.alias("raw")))
+    raws = F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
+    typed = F.transform(raws, lambda raw: F.struct(_kind(raw).alias("kind"), raw.alias("raw")))
     return F.transform(typed, lambda e: F.struct(e["kind"].alias("kind"), e["raw"].alias("raw"), canonical(e["kind"], e["raw"]).alias("canon")))
 
 
