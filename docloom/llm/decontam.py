@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.llm.common import once
+
 # Words of a shingle, least similarity, largest Hamming distance of window and item.
 SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 11
 # Benchmark anchors up to this count are broadcast (16 bytes each); more are joined by shuffle.
@@ -16,11 +18,6 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
-def once(value: Column, use) -> Column:
-    """``use`` of a value that is computed once, however often ``use`` names it in lambdas."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def runs(words: Column, size: int) -> Column:
     """XXH64 of every run of ``size`` neighbouring words."""
     return F.when(F.size(words) >= size, F.transform(F.sequence(F.lit(1), F.size(words) - size + 1), lambda k: F.xxhash64(F.slice(words, k, size)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import ensure_checkpoint_dir, wrapped
+from docloom.llm.common import ensure_checkpoint_dir, once, wrapped
 
 # What is found, tried in this order at each place.
 _FREE, _END = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
@@ -69,8 +69,8 @@ def _number(stream: Column, place: Column) -> Column:
 def _letters(text: Column, stream: Column, alike: str = "") -> Column:
     """Each letter and digit replaced by one of its kind and script; other characters stay."""
 
-    def one(k: Column) -> Column:
-        c, n = F.substr(text, k, F.lit(1)), _number(stream, k)
+    def one(source: Column, drawn: Column, k: Column) -> Column:
+        c, n = F.substr(source, k, F.lit(1)), _number(drawn, k)
         of = lambda letters: F.substr(F.lit(letters), n % len(letters) + 1, F.lit(1))
         hexed = F.when(c.rlike("[a-f]"), of("abcdef")).when(c.rlike("[A-F]"), of("ABCDEF")) if alike == "hex" else F.when(F.lit(False), c)
         return (hexed.when(c.rlike(r"\d"), of("0123456789"))
@@ -78,7 +78,7 @@ def _letters(text: Column, stream: Column, alike: str = "") -> Column:
                 .when(c.rlike(r"[α-ω]"), of("αβγδεζηθικλμνξοπρστυφχψω")).when(c.rlike(r"\p{Lu}"), of("ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
                 .when(c.rlike(r"\p{L}"), of("abcdefghijklmnopqrstuvwxyz")).otherwise(c))
 
-    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(text)), one), "")
+    return once(text, lambda t: once(stream, lambda s: F.array_join(F.transform(F.sequence(F.lit(1), F.length(t)), lambda k: one(t, s, k)), "")))
 
 
 def _luhn(digits: Column) -> Column:
@@ -116,12 +116,15 @@ def _person(key: str, canon: Column, attempt: Column) -> Column:
 
 def surrogate(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
     """The keyed replacement of a canonical entity: same kind, length and classes of characters."""
-    size, tried = F.length(canon), attempt.cast("string")
-    own = _stream(key, size, kind, canon, tried)
+    return once(_stream(key, F.length(canon), kind, canon, attempt.cast("string")), lambda own: _drawn(key, kind, canon, attempt, own))
+
+
+def _drawn(key: str, kind: Column, canon: Column, attempt: Column, own: Column) -> Column:
+    """The replacement that the keyed digits ``own`` draw."""
+    size = F.length(canon)
     drawn = F.concat(F.when(kind == "ssn", "").otherwise(F.substring(canon, 1, 1)),
                      _letters(F.when(kind == "ssn", canon).otherwise(F.substr(canon, F.lit(2))), own))
-    body = F.substr(drawn, F.lit(1), size - 1)
-    checked = F.concat(body, ((10 - _luhn(F.concat(body, F.lit("0")))) % 10).cast("string"))
+    checked = once(F.substr(drawn, F.lit(1), size - 1), lambda body: F.concat(body, ((10 - _luhn(F.concat(body, F.lit("0")))) % 10).cast("string")))
     digits = F.when((kind == "card") & (_luhn(canon) == 0), checked).otherwise(drawn)
     octets = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda k: (_number(own, k) % 254 + 1).cast("string")), ".")
     domain, tld = F.regexp_extract(canon, r"@(.*)\.[^.]*$", 1), F.regexp_extract(canon, r"\.[^.]*$", 0)
@@ -135,6 +138,10 @@ def surrogate(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
 
 def dress(kind: Column, raw: Column, made: Column) -> Column:
     """The surrogate in the raw spelling's format: separators, upper case, title."""
+    return once(made, lambda m: _dressed(kind, raw, m))
+
+
+def _dressed(kind: Column, raw: Column, made: Column) -> Column:
     before = lambda k: F.length(F.regexp_replace(F.substr(raw, F.lit(1), k), r"\D", ""))
     numbers = F.array_join(F.transform(F.sequence(F.lit(1), F.length(raw)), lambda k: F.when(
         F.substr(raw, k, F.lit(1)).rlike(r"\d"), F.substr(made, before(k), F.lit(1))).otherwise(F.substr(raw, k, F.lit(1)))), "")
