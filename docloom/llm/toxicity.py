@@ -152,6 +152,8 @@ def fit_in_task(rows: DataFrame) -> ToxicityModel:
         yield pa.RecordBatch.from_arrays([pa.array([model.logits.tobytes()]), pa.array([model.bias])], names=["logits", "bias"])
 
     got = rows.repartition(1).mapInArrow(run, "logits binary, bias double").first()
+    if got is None:  # no row, no task
+        return fit([])
     return ToxicityModel(np.frombuffer(got["logits"], np.float32), got["bias"])
 
 

@@ -194,6 +194,8 @@ def test_classifiers_learn_and_take_any_row(spark, docs):
         rows = frame.collect()
         assert len(rows) == len(TEXTS) and all(0 <= r["score"] <= 1 for r in rows)
     assert toxicity.score(docs.limit(0), model).count() == 0
+    labelled = docs.select("text", F.lit(1).alias("label"))
+    assert toxicity.fit_in_task(labelled.limit(0)).bias == 0 < toxicity.fit_in_task(labelled.where("text is not null")).bias
 
 
 def test_pooling_covers_whole_texts():
