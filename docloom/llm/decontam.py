@@ -1,15 +1,15 @@
-"""Benchmark decontamination: SimHash of item-sized windows, multi-index blocks, exact check."""
+"""Benchmark decontamination: item-sized windows at shared shingles, exact similarity."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import once
+from docloom.llm.common import once, written
 
-# Words of a shingle, least similarity, largest Hamming distance of window and item.
-SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 11
-# Benchmark anchors up to this count are broadcast (16 bytes each); more are joined by shuffle.
+# Words of a shingle, least similarity.
+SHINGLE, SIMILARITY = 5, 0.8
+# Benchmark anchors up to this count are broadcast (24 bytes each); more are joined by shuffle.
 BROADCAST_ANCHORS = 200_000
 
 
@@ -40,15 +40,6 @@ def simhash(words: Column) -> Column:
     return once(hashes, fold)
 
 
-def blocks(fp: Column, radius: int) -> Column:
-    """radius + 1 pieces of the fingerprint: within the radius, two share one of them."""
-    many = radius + 1
-    cuts = [64 * k // many for k in range(many + 1)]
-    return F.array(*(
-        F.struct(F.lit(k).alias("block"), F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (b - a)) - 1).cast("long")).alias("value"))
-        for k, (a, b) in enumerate(zip(cuts, cuts[1:]))))
-
-
 def weighted_similarity(left: Column, right: Column) -> Column:
     """Sum of the smaller over sum of the larger multiplicities of two shingle lists."""
     count = lambda of, s: F.size(F.filter(of, lambda x: x == s))
@@ -57,21 +48,23 @@ def weighted_similarity(left: Column, right: Column) -> Column:
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
-            shingle: int = SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+            shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """The best window of each (text, item) pair of at least ``similarity``: text_key, item, start, n_words, hamming, similarity.
 
     text_key is the XXH64 of the document's text, so copies are examined once.  Only a window
     that shares a shingle with an item can be similar to it, so windows are laid where the
     shared shingle puts an item of that length; the positions of a shingle in items, not the
-    items, are joined.  Each window's SimHash (over its words) meets the items of its length
-    that share one of radius + 1 blocks, which finds every item within ``radius``; Hamming
-    distance and the exact similarity of shingle multisets then decide.  Null and empty texts
-    and items have no windows; equal items each match; of equal windows the first counts;
-    null item ids are kept.  Items shorter than a shingle are one shingle.  Empty tables give
-    no rows.
+    items, are joined.  A window of the similarity shares so many shingles with the item that
+    (1 + similarity) * shared >= similarity * (shingles of both), and shared is at most the
+    number of joined positions of the text and the item; pairs below that are dropped unread.
+    The exact similarity of shingle multisets decides on all others; ``hamming`` tells how far
+    the SimHashes over the words are apart and decides nothing.  Null and empty texts and
+    items have no windows; equal items each match; of equal windows the first counts; null
+    item ids are kept.  Items shorter than a shingle are one shingle.  Empty tables give no rows.
     """
     items = benchmark.select(F.col(item_col).alias("item"), words_of(F.col(item_text)).alias("item_words")).where(F.size("item_words") > 0)
-    items = items.select("item", "item_words", F.size("item_words").alias("n_words"))
+    # The number stands for an item's words in joins: equal items share it, null ids have one.
+    items = items.select("item", "item_words", F.size("item_words").alias("n_words"), F.xxhash64("item_words").alias("number"))
     sizes = sorted(r[0] for r in items.select(F.least("n_words", F.lit(shingle))).distinct().collect())  # at most ``shingle`` values
     text_key = F.xxhash64(F.col(text_col))
     texts = docs.select(text_key.alias("text_key"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
@@ -79,38 +72,45 @@ def matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_
     hits = None
     for size in sizes:
         mine = items.where(F.least("n_words", F.lit(shingle)) == size)
-        anchors = mine.select("n_words", F.posexplode(runs(F.col("item_words"), size)).alias("at", "anchor")).distinct()
+        anchors = mine.select("number", "n_words", F.posexplode(runs(F.col("item_words"), size)).alias("at", "anchor")).distinct()
         if anchors.limit(BROADCAST_ANCHORS + 1).count() <= BROADCAST_ANCHORS:
             anchors = F.broadcast(anchors)
         places = tokens.select("text_key", F.size("words").alias("n"), F.posexplode(runs(F.col("words"), size)).alias("pos", "anchor"))
-        found = places.join(anchors, "anchor").select("text_key", (F.col("pos") - F.col("at")).alias("start"), "n_words", "n")
+        found = places.join(anchors, "anchor").select("text_key", "number", (F.col("pos") - F.col("at")).alias("start"), "n_words", "n", F.lit(size).alias("size"))
         # At a text's border the window is moved inside, as far as the text is long enough.
-        found = found.select("text_key", F.greatest(F.lit(0), F.least("start", F.col("n") - F.col("n_words"))).alias("start"), "n_words")
+        found = found.withColumn("start", F.greatest(F.lit(0), F.least("start", F.col("n") - F.col("n_words"))))
         hits = found if hits is None else hits.union(found)
     if hits is None:
         return texts.join(items.limit(0), F.lit(False)).select(
             "text_key", "item", F.lit(0).alias("start"), "n_words", F.lit(0).alias("hamming"), F.lit(0.0).alias("similarity"))
-    laid = hits.distinct().groupBy("text_key").agg(F.collect_set(F.struct("start", "n_words")).alias("laid"))
+    # Copies of a text count once more each, which only lets more pairs through.
+    both = F.col("n_words") + F.least("n_words", "n") - 2 * F.col("size") + 2
+    pairs = (
+        hits.groupBy("text_key", "number", "n_words", "n", "size", "start").agg(F.count("*").alias("shared"))
+        .groupBy("text_key", "number", "n_words", "n", "size").agg(F.sum("shared").alias("shared"), F.collect_set("start").alias("starts"))
+        .where((1 + similarity) * F.col("shared") >= similarity * both - 1e-6).select("text_key", "number", "starts")
+    )
+    # Few are left: written, their size is known and texts need no shuffle to meet them.
+    laid = written(pairs.groupBy("text_key").agg(F.collect_list(F.struct("number", "starts")).alias("laid")), "benchmark-windows")
+    known = items.select("number", "item_words", "n_words").dropDuplicates(["number"])
+    # A text's words are cut into windows once; only the windows go on.
     windows = (
-        texts.join(laid, "text_key").select("text_key", "laid", words_of(F.col("text")).alias("words"))
-        .select("text_key", F.explode(once(F.col("words"), lambda words: F.transform("laid", lambda w: F.struct(
-            w["start"].alias("start"), w["n_words"].alias("n_words"), F.slice(words, w["start"] + 1, w["n_words"]).alias("words"))))).alias("w"))
-        .select("text_key", "w.*").distinct()
-        .withColumn("fp", simhash(F.col("words")))
+        texts.join(laid, "text_key").dropDuplicates(["text_key"])
+        .select("text_key", words_of(F.col("text")).alias("words"), F.explode("laid").alias("l"))
+        .join(known, F.col("l.number") == F.col("number"))
+        .select("text_key", "number", "n_words", "item_words", F.explode(once(F.col("words"), lambda words: F.transform("l.starts", lambda at: F.struct(
+            at.alias("start"), F.slice(words, at + 1, F.col("n_words")).alias("words"))))).alias("w"))
+        .select("text_key", "number", "n_words", "item_words", "w.*")
     )
-    known = items.withColumn("item_fp", simhash(F.col("item_words")))
-    left = windows.select("*", F.explode(blocks(F.col("fp"), radius)).alias("b")).select("*", "b.*").drop("b")
-    right = known.select("*", F.explode(blocks(F.col("item_fp"), radius)).alias("b")).select("*", "b.*").drop("b")
     near = (
-        left.join(right, ["n_words", "block", "value"])
-        .withColumn("hamming", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))).where(F.col("hamming") <= radius)
-        .select("text_key", "item", "start", "n_words", "hamming", "words", "item_words").distinct()
-        .withColumn("similarity", weighted_similarity(shingles(F.col("words"), shingle), shingles(F.col("item_words"), shingle)))
+        windows.withColumn("similarity", weighted_similarity(shingles(F.col("words"), shingle), shingles(F.col("item_words"), shingle)))
         .where(F.col("similarity") >= similarity)
     )
-    best = F.max(F.struct("similarity", (-F.col("start")).alias("back"), "n_words", "hamming"))
-    return near.groupBy("text_key", "item").agg(best.alias("best")).select(
-        "text_key", "item", (-F.col("best.back")).alias("start"), "best.n_words", "best.hamming", "best.similarity")
+    best = F.max(F.struct("similarity", (-F.col("start")).alias("back"), "n_words", "words", "item_words"))
+    found = near.groupBy("text_key", "number").agg(best.alias("best"))
+    hamming = F.bit_count(simhash(F.col("best.words")).bitwiseXOR(simhash(F.col("best.item_words"))))
+    found = found.select("text_key", "number", (-F.col("best.back")).alias("start"), "best.n_words", hamming.alias("hamming"), "best.similarity")
+    return found.join(items.select("item", "number").distinct(), "number").select("text_key", "item", "start", "n_words", "hamming", "similarity")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
