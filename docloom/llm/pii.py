@@ -36,6 +36,8 @@ ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 HINT = r"[0-9@]|[a-fA-F]{32}|AKIA|(?:sk|pk|ghp|gho|xoxb|xoxp)[-_]|[FHMSГ](?:" + "|".join(t[1:] for of in TITLES.values() for t in of) + r")[. ]"
 _DIGITS = ("card", "ssn", "phone")
 MOST_ATTEMPTS = 40
+# From this attempt on e-mail local parts and phone numbers grow.
+GROWS = 4
 
 
 def _kind(raw: Column) -> Column:
@@ -103,19 +105,29 @@ def _person(key: str, canon: Column, attempt: Column) -> Column:
     many = F.greatest(F.lit(2), F.ceil(F.length(surname) / 2).cast("int")) + F.when(F.size(words) == 1, attempt).otherwise(0)
     family = _syllables(_stream(key, 2 * many, F.lit("surname"), surname), many, cyrillic)
 
-    def given(nth: int) -> Column:
-        n = _number(_stream(key, F.lit(4), F.lit("given"), canon, attempt.cast("string")), F.lit(nth))
-        lists = {(g, c): F.array(*map(F.lit, names)) for c, of in ((False, GIVEN), (True, GIVEN_CYRILLIC)) for g, names in of.items()}
-        pick = lambda g, c: F.element_at(lists[g, c], n % F.size(lists[g, c]) + 1)
+    lists = {(g, c): F.array(*map(F.lit, names)) for c, of in ((False, GIVEN), (True, GIVEN_CYRILLIC)) for g, names in of.items()}
+
+    def given(stream: Column, nth: Column) -> Column:
+        pick = lambda g, c: F.element_at(lists[g, c], _number(stream, nth) % F.size(lists[g, c]) + 1)
         return F.when(cyrillic, F.when(gender == "f", pick("f", True)).otherwise(pick("m", True))).when(gender == "f", pick("f", False)).otherwise(pick("m", False))
 
-    more = F.when(attempt >= 2, F.concat(F.lit(" "), given(2))).otherwise("")
-    more = F.concat(more, F.when(attempt >= 4, F.concat(F.lit(" "), given(3))).otherwise(""))
-    return F.when(F.size(words) == 1, family).otherwise(F.concat(given(1), more, F.lit(" "), family))
+    # One more given name every second attempt, so that no number of names is too large.
+    names = once(_stream(key, F.lit(4), F.lit("given"), canon, attempt.cast("string")), lambda stream: F.array_join(
+        F.transform(F.sequence(F.lit(1), F.floor(attempt / 2).cast("int") + 1), lambda nth: given(stream, nth)), " "))
+    return F.when(F.size(words) == 1, family).otherwise(F.concat(names, F.lit(" "), family))
+
+
+def _longer(attempt: Column) -> Column:
+    """Letters or digits that a surrogate has more than its entity: one every second attempt from GROWS on."""
+    return F.greatest(F.lit(0), F.floor((attempt - GROWS) / 2).cast("int") + 1)
 
 
 def surrogate(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
-    """The keyed replacement of a canonical entity: same kind, length and classes of characters."""
+    """The keyed replacement of a canonical entity: same kind and classes of characters.
+
+    The length is the same too, except for names and for e-mail and phone entities whose
+    format has too few values: those grow with the attempts.
+    """
     return once(_stream(key, F.length(canon), kind, canon, attempt.cast("string")), lambda own: _drawn(key, kind, canon, attempt, own))
 
 
@@ -125,10 +137,14 @@ def _drawn(key: str, kind: Column, canon: Column, attempt: Column, own: Column)
     drawn = F.concat(F.when(kind == "ssn", "").otherwise(F.substring(canon, 1, 1)),
                      _letters(F.when(kind == "ssn", canon).otherwise(F.substr(canon, F.lit(2))), own))
     checked = once(F.substr(drawn, F.lit(1), size - 1), lambda body: F.concat(body, ((10 - _luhn(F.concat(body, F.lit("0")))) % 10).cast("string")))
-    digits = F.when((kind == "card") & (_luhn(canon) == 0), checked).otherwise(drawn)
+    grown = lambda of: F.array_join(F.transform(F.sequence(F.lit(0), _longer(attempt)), lambda k: F.when(k == 0, "").otherwise(
+        F.substr(F.lit(of), _number(more, k) % len(of) + 1, F.lit(1)))), "")
+    more = _stream(key, F.lit(MOST_ATTEMPTS), F.lit("more"), kind, canon, attempt.cast("string"))
+    digits = F.when((kind == "card") & (_luhn(canon) == 0), checked).when(
+        (kind == "phone") & (attempt >= GROWS), F.concat(drawn, grown("0123456789"))).otherwise(drawn)
     octets = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda k: (_number(own, k) % 254 + 1).cast("string")), ".")
     domain, tld = F.regexp_extract(canon, r"@(.*)\.[^.]*$", 1), F.regexp_extract(canon, r"\.[^.]*$", 0)
-    email = F.concat(_letters(F.substring_index(canon, "@", 1), own), F.lit("@"),
+    email = F.concat(_letters(F.substring_index(canon, "@", 1), own), F.when(attempt >= GROWS, grown("abcdefghijklmnopqrstuvwxyz")).otherwise(""), F.lit("@"),
                      _letters(domain, _stream(key, size, F.lit("domain"), domain)), tld)
     secret = F.when(canon.rlike(r"^[0-9a-fA-F]+$"), _letters(canon, own, "hex")).otherwise(
         F.concat(F.regexp_extract(canon, r"^([a-z]+[-_]|AKIA)?", 0), _letters(F.regexp_replace(canon, r"^([a-z]+[-_]|AKIA)", ""), own)))
@@ -145,8 +161,14 @@ def _dressed(kind: Column, raw: Column, made: Column) -> Column:
     before = lambda k: F.length(F.regexp_replace(F.substr(raw, F.lit(1), k), r"\D", ""))
     numbers = F.array_join(F.transform(F.sequence(F.lit(1), F.length(raw)), lambda k: F.when(
         F.substr(raw, k, F.lit(1)).rlike(r"\d"), F.substr(made, before(k), F.lit(1))).otherwise(F.substr(raw, k, F.lit(1)))), "")
-    cased = F.array_join(F.transform(F.sequence(F.lit(1), F.length(raw)), lambda k: F.when(
-        F.substr(raw, k, F.lit(1)).rlike(r"\p{Lu}"), F.upper(F.substr(made, k, F.lit(1)))).otherwise(F.substr(made, k, F.lit(1)))), "")
+    # What a surrogate has more stands behind the digits, or between local part and "@".
+    extra = F.greatest(F.lit(0), F.length(made) - F.length(raw))
+    numbers = F.concat(numbers, F.when(kind == "phone", F.substr(made, before(F.length(raw)) + 1, F.length(made))).otherwise(""))
+    at = F.instr(raw, "@")
+    place = lambda k: k + F.when(k >= at, extra).otherwise(0)
+    cased = F.array_join(F.transform(F.sequence(F.lit(1), F.length(raw)), lambda k: F.concat(
+        F.when(k == at, F.substr(made, at, extra)).otherwise(""),
+        F.when(F.substr(raw, k, F.lit(1)).rlike(r"\p{Lu}"), F.upper(F.substr(made, place(k), F.lit(1)))).otherwise(F.substr(made, place(k), F.lit(1))))), "")
     return (F.when(kind.isin(*_DIGITS), numbers).when(kind == "email", cased)
             .when(kind == "name", F.concat(F.regexp_extract(raw, r"^\S+ ", 0), made)).otherwise(made))
 
@@ -164,8 +186,9 @@ def exceptions(entities: DataFrame, key: str) -> DataFrame:
     ``entities`` holds distinct (kind, canon).  A surrogate is taken if the corpus itself has
     it as an entity of the kind, if an entity that came earlier (by canon) draws the same in
     the round, or if one settled in an earlier round has it.  The others draw again until
-    all differ, each round only over those still open, cut off by a checkpoint.  Raises
-    ValueError if a kind's format has too few values for that after MOST_ATTEMPTS rounds.
+    all differ, each round only over those still open, cut off by a checkpoint.  Names, e-mail
+    and phone entities have more values with each few attempts.  Raises ValueError if another
+    kind's format has too few values for that after MOST_ATTEMPTS rounds.
     """
     ensure_checkpoint_dir(entities.sparkSession)
     real = entities.select("kind", F.col("canon").alias("made"))
