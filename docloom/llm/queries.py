@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import decontam, langid, oracles, pii, quality_cnn, rules, simhash, substrings, tokens, toxicity
+from docloom.llm import (
+    decontam, langid, lexical_rank, multiset_hash, oracles, phrases, pii, quality_cnn, rules, simhash, substrings, tokens, toxicity,
+)
 from docloom.llm.common import fold, labelled_sample
 
 
@@ -89,6 +91,21 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiset_hash.compare_with_next(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        multiset_hash.text_of(F.col("own")).alias("fingerprint"), multiset_hash.text_of(F.col("edited_own")).alias("edited_fingerprint"),
+        "near_edited", "near_next")
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_rank.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_toxicity": op2_toxicity,
@@ -100,5 +117,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_suffix_dedup": op10_suffix_dedup,
     "op4_packing": op4_packing,
     "op5_token_counts": op5_token_counts,
+    "op11_collocations": op11_collocations,
+    "op12_fingerprints": op12_fingerprints,
+    "op13_lexical_search": op13_lexical_search,
 }
 ORACLES: dict[str, str] = dict(oracles.ORACLES)
