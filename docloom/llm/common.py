@@ -32,10 +32,16 @@ def wrapped(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Checkpoints go to the folder that ``spark.checkpoint.dir`` names; a local one only if unset."""
+    """Checkpoints go to the folder that ``spark.checkpoint.dir`` names.
+
+    Without it a local folder serves in local mode; on a cluster executors would not share it,
+    which raises ValueError.
+    """
     if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-")
-        spark.sparkContext.setCheckpointDir(folder)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -47,6 +53,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Delete the files behind a table of ``written``, once nothing reads it any more."""
+    spark = table.sparkSession
+    for folder in {name.rsplit("/", 1)[0] for name in table.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows of about ``limit`` text bytes; one row may exceed it."""
     if batch.num_rows == 0:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import unicodedata
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -39,6 +40,8 @@ class WordEncoder:
         vocab = self._tokenizer.get_vocab(with_added_tokens=False)
         self._ends = np.zeros(max(self._tokenizer.get_vocab_size(), max(vocab.values()) + 1), bool)
         self._ends[[i for w, i in vocab.items() if suffix and w.endswith(suffix)]] = True
+        # Characters seen at the end of a word, and whether they end it for the tokenizer.
+        self._ends_word: dict[str, bool] = {}
         self._forget()
 
     def _forget(self) -> None:
@@ -80,6 +83,19 @@ class WordEncoder:
                 self._remember(part, *self._encode_new(part))
         return np.fromiter(map(self._place.__getitem__, texts), np.int64, len(texts))[coded.indices.to_numpy()]
 
+    def _closed(self, heads: pa.Array) -> pa.Array:
+        """Whether each head ends in a letter or digit, also after the tokenizer's normalisation.
+
+        Some letters are taken apart by it and then end in a mark, which belongs to what follows.
+        """
+        last = pc.utf8_slice_codeunits(heads, -1).dictionary_encode()
+        ends = last.dictionary.to_pylist()
+        for c in ends:
+            if c not in self._ends_word:
+                normal = self._tokenizer.normalizer.normalize_str(c) if self._tokenizer.normalizer else c
+                self._ends_word[c] = bool(c) and all(unicodedata.category(x[-1])[0] in "LN" for x in (c, normal or " "))
+        return pa.array(np.array([self._ends_word[c] for c in ends], bool)[last.indices.to_numpy()])
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in order, and the number of ids of each text."""
         split = pc.ascii_split_whitespace(texts)
@@ -90,7 +106,7 @@ class WordEncoder:
         # Two parts of each word: up to its last letter or digit, and the punctuation after it.
         words = coded.dictionary
         head = pc.utf8_rtrim(words, _TAIL)
-        cut = pc.or_(pc.equal(head, ""), pc.match_substring_regex(head, r"[\p{L}\p{N}]$"))
+        cut = pc.or_(pc.equal(head, ""), self._closed(head))
         head = pc.if_else(cut, head, words)
         tail = _after(words, head)
         head = pc.if_else(pc.match_substring(head, "<"), head, pc.ascii_lower(head))
