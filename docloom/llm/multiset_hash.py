@@ -11,7 +11,7 @@ from docloom.llm.common import once
 STRONG, LIKE = 8, 256
 _LIKE_BITS = 16
 # Rows of a range of ids that one task orders, ranges at most, and ranges of one step of the search for a row's range.
-RANGE_ROWS, RANGES, FAN = 10_000, 1 << 15, 64
+RANGE_ROWS, RANGES, FAN = 1_000, 1 << 15, 64
 
 
 def _digests(units: Column) -> Column:
