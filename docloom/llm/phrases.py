@@ -18,6 +18,8 @@ SHARD_BYTES = 16 << 20
 # Bits of the filter that tells shards which words can be in a candidate (4 MB, whatever the corpus).
 FILTER_BITS = 25
 ROWS = 1 << 19
+# Parts of a language that are ranked apart first.
+PARTS = 16
 
 
 def _table() -> bytes:
@@ -239,6 +241,9 @@ def collocations(docs: DataFrame, top: int = 2000, least: int = 10, share: int =
         F.when(late, F.col("left2")).otherwise(F.col("f1")).alias("l"),
         F.when(late, F.col("f3")).when(F.col("w3").isNotNull(), F.col("right2")).otherwise(F.col("f2")).alias("r"), "n",
     ).withColumn("score", _score(F.col("a"), F.col("l"), F.col("r")))
-    best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).select(
+    # First within parts of a language, so that one task ranks at most PARTS * top of its phrases.
+    order = (F.desc("score"), F.desc("a"), "phrase")
+    part = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(PARTS))).orderBy(*order)
+    scored = scored.withColumn("rank", F.row_number().over(part)).where(F.col("rank") <= top)
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top).select(
         "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
