@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from docloom.config import DEFAULT
 from docloom.functions import fixed_values as fv
 from docloom.functions import text as tx
-from docloom.operators import lexical, narrowing, resolve, vector
+from docloom.operators import branches, impact_index, lexical, narrowing, resolve, vector, vector_cells
 from docloom.workload import duck, tables
 
 QUERIES, ORACLES = {}, {}
@@ -134,6 +134,23 @@ def bm25_batch(spark, sf):
     return rounded(found, "qid", "chunk_id")
 
 
+@add("bm25_batch_pruned", ORACLES["bm25_batch"])
+def bm25_batch_pruned(spark, sf):
+    """The same ranking from stored postings, entering documents by blocks that can still matter."""
+    index = impact_index.build(source_corpus(spark, sf))
+    return rounded(impact_index.search_many(index, tables.questions(spark, sf), 8), "qid", "chunk_id")
+
+
+@add("bm25_batch_reading", duck.query(
+    """select sum(n)::bigint as postings, true as pruned from (
+        select qid, term from qterms) join (select term, count(*) as n from (select unnest(list_distinct(tokens)) as term from source_corpus) group by term) using (term)""",
+    "source_corpus", "qterms"))
+def bm25_batch_reading(spark, sf):
+    """Postings of the questions' terms, and whether blocks left some of them unread."""
+    index = impact_index.build(source_corpus(spark, sf))
+    return impact_index.reading(index, tables.questions(spark, sf), 8).select("postings", (F.col("read") < F.col("postings")).alias("pruned"))
+
+
 _SELECTED = f"""
     select *, row_number() over (partition by qid order by rank) as position from (
         select *, row_number() over (partition by qid, document_id order by rank) as n from hits
@@ -301,6 +318,15 @@ def cosine_batch(spark, sf):
     )
 
 
+@add("cosine_index_topk", ORACLES["cosine_batch"])
+def cosine_index_topk(spark, sf):
+    """The same neighbours through the cells of a vector index."""
+    queries = tables.table(spark, sf, "embeddings").filter(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("qid"), "embedding")
+    index = vector_cells.build(embeddings(spark, sf), 64, key="vec_id")
+    return vector_cells.nearest_many(index, queries, 5).select(
+        "qid", "vec_id", F.col("rank").cast("bigint").alias("rank"), F.round("distance", 6).alias("distance"))
+
+
 @add("digest_vectors")
 def digest_vectors(spark, sf):
     cfg = DEFAULT.with_(embedding_dimension=64)
@@ -329,3 +355,98 @@ duck.register("resolved", f"""
 def doc_resolve_margin(spark, sf):
     found = resolve.resolve_documents(tables.questions(spark, sf).drop("document_id"), tables.catalog(spark, sf))
     return found.withColumn("score", F.round("score", 6))
+
+
+# --- the first way that finds something -------------------------------------------------
+
+# Closer than the library's own limits, so that some questions have no near passage.
+_NEAR = DEFAULT.with_(max_distance=0.6, min_similarity=0.45)
+duck.register("question_vectors", "select q.qid, case when q.conv_id % 2 = 1 then list_transform(v.v, lambda x: -x) else v.v end as v from questions q join units_v v on v.vec_id = q.conv_id", "questions", "units_v")
+duck.register("chunk_vectors", "select c.chunk_id, c.document_id, v.v from source_corpus c join units_v v on v.vec_id = c.doc_id", "source_corpus", "units_v")
+
+
+def _passages_sql(hits: str, floor: float, per: int = 1) -> str:
+    return f"""
+    select * from (select *, row_number() over (partition by qid order by rank) as position from (
+        select *, row_number() over (partition by qid, document_id order by rank) as nth from {hits}
+        where greatest(0, 1 - distance) >= {floor} and not ({duck.low_title('document_title')} or length({duck.strip('exact_context')}) < 40))
+    where nth <= {per}) where position <= 3"""
+
+
+duck.register("vector_hits", """
+    select n.*, c.* exclude (chunk_id, document_id), c.document_id from (
+        select qid, chunk_id, round(1 - list_inner_product(e.v, q.v), 9) as distance,
+            row_number() over (partition by qid order by round(1 - list_inner_product(e.v, q.v), 9), chunk_id) as rank
+        from chunk_vectors e, question_vectors q) n join source_corpus c using (chunk_id)
+    where n.rank <= 16 and n.distance <= 0.6""", "question_vectors", "chunk_vectors", "source_corpus")
+duck.register("vector_passages", _passages_sql("vector_hits", 0.45), "vector_hits")
+duck.register("word_passages", _passages_sql("hits", 0.0), "hits")
+
+
+def question_vectors(spark, sf):
+    """Each question with the given vector of its conversation's number; odd ones point the other way, far from most."""
+    own = F.when(F.col("vec_id") % 2 == 1, F.transform("embedding", lambda x: -x)).otherwise(F.col("embedding"))
+    vectors = embeddings(spark, sf).select(F.col("vec_id").alias("conv_id"), own.alias("embedding"))
+    return tables.questions(spark, sf).join(vectors, "conv_id").select("qid", "embedding")
+
+
+def chunk_vectors(spark, sf):
+    """Each chunk with the given vector of its text's number."""
+    vectors = embeddings(spark, sf).select(F.col("vec_id").alias("doc_id"), "embedding")
+    return source_corpus(spark, sf).select("chunk_id", "document_id", "doc_id").join(vectors, "doc_id").drop("doc_id")
+
+
+@add("vector_route", duck.query(
+    """select qid, 'vector' as mode, position, chunk_id from vector_passages
+       union all select qid, 'lexical', position, chunk_id from word_passages where qid not in (select qid from vector_passages)""",
+    "vector_passages", "word_passages"))
+def vector_route(spark, sf):
+    """Questions answered by vectors, and by words where no near passage is usable."""
+    chunks = source_corpus(spark, sf)
+    near = vector.nearest_many(chunk_vectors(spark, sf), question_vectors(spark, sf), 16, grid=(4, 2))
+    near = lexical.attach(near.filter(F.col("distance") <= _NEAR.max_distance), chunks.drop("tokens"))
+    words = hits(spark, sf, 16).select(*near.columns)
+    found = branches.first_context([branches.Branch("vector", near, _NEAR.min_similarity), branches.Branch("lexical", words)], cfg=_NEAR)
+    return found.select("qid", F.col("branch").alias("mode"), F.col("position").cast("bigint").alias("position"), "chunk_id")
+
+
+duck.register("scoped_questions", """
+    select q.qid, q.conv_id, d.source as document_id, case when q.conv_id % 3 = 0 then 'the of and' else q.question end as question
+    from questions q join documents d on d.doc_id = q.conv_id""", "questions")
+duck.register("scoped_hits", f"""
+    select r.*, c.* exclude (chunk_id, document_id), c.document_id from (
+        select qid, chunk_id, greatest(0.01, 1 / (1 + score)) as distance, row_number() over (partition by qid order by score desc, chunk_id) as rank from (
+            select qid, chunk_id, round(sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avg_len))), 9) as score
+            from (select document_id, chunk_id, dl, term, count(*)::double as tf from (select document_id, chunk_id, len(tokens) as dl, unnest(tokens) as term from source_corpus) group by all) p
+            join (select document_id, term, count(*)::double as df from (select document_id, unnest(list_distinct(tokens)) as term from source_corpus) group by all) using (document_id, term)
+            join (select document_id, count(*)::double as n, avg(len(tokens)) as avg_len from source_corpus group by all) using (document_id)
+            join (select qid, document_id, term, count(*) as times from (select qid, document_id, unnest({duck.words('question', 3, fv.LEXICAL_STOP)}) as term from scoped_questions) group by all) using (document_id, term)
+            group by all)) r join source_corpus c using (chunk_id) where rank <= 16""", "scoped_questions", "source_corpus")
+duck.register("scoped_near", """
+    select n.*, c.* exclude (chunk_id, document_id), c.document_id from (
+        select s.qid, e.chunk_id, round(1 - list_inner_product(e.v, q.v), 9) as distance,
+            row_number() over (partition by s.qid order by round(1 - list_inner_product(e.v, q.v), 9), e.chunk_id) as rank
+        from scoped_questions s join question_vectors q using (qid) join chunk_vectors e on e.document_id = s.document_id) n
+    join source_corpus c using (chunk_id) where n.rank <= 16 and n.distance <= 0.78""", "scoped_questions", "question_vectors", "chunk_vectors", "source_corpus")
+duck.register("document_hits", """
+    select 'lexical' as branch, qid, chunk_id, distance, rank, document_id, document_title, exact_context from scoped_hits
+    union all select 'vector', qid, chunk_id, distance, rank, document_id, document_title, exact_context from scoped_near where qid not in (select qid from scoped_hits)""",
+    "scoped_hits", "scoped_near")
+
+
+@add("document_route_fallback", duck.query(
+    f"select qid, branch, position, chunk_id from ({_passages_sql('document_hits', 0.0, 3)})", "document_hits"))
+def document_route_fallback(spark, sf):
+    """Questions about one document, by its words or, where none match, by its vectors."""
+    chunks = source_corpus(spark, sf)
+    texts = chunks.drop("tokens", "document_id")
+    home = tables.table(spark, sf, "documents").select(F.col("doc_id").alias("conv_id"), F.col("source").alias("document_id"))
+    asked = tables.questions(spark, sf).drop("document_id").join(home, "conv_id").withColumn(
+        "question", F.when(F.col("conv_id") % 3 == 0, F.lit("the of and")).otherwise(F.col("question")))
+    words = lexical.search_many(chunks, asked, 16, scope="document_id")
+    inside = question_vectors(spark, sf).join(asked.select("qid", "document_id"), "qid")
+    near = vector.nearest_in_scope(chunk_vectors(spark, sf), inside, "document_id", 16).filter(F.col("distance") <= DEFAULT.max_distance)
+    ways = [branches.Branch(name, lexical.attach(rows.select("qid", "chunk_id", "rank", "distance"), texts)) for name, rows in (("lexical", words), ("vector", near))]
+    first = branches.first_hits(ways).withColumnRenamed("branch", "way")
+    found = branches.first_context([branches.Branch("document", first)], max_per_document=3)
+    return found.select("qid", F.col("way").alias("branch"), F.col("position").cast("bigint").alias("position"), "chunk_id")
