@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docloom.config import DEFAULT
 from docloom.functions import fixed_values as fv
 from docloom.functions import quality, render, urls
 from docloom.operators import (
-    audit, catalog as cat, checks, listing, merge, ranking, sessions, suggestions, vector,
+    audit, catalog as cat, checks, crawl, listing, merge, ranking, sessions, suggestions, vector,
 )
+from docloom.plans import metrics
+from docloom.session import materialize, work_dir
+from docloom.sources import snapshots, variant_log
 from docloom.workload import chunk_queries, duck, tables
 
 QUERIES, ORACLES = {}, {}
@@ -153,6 +159,102 @@ def run_counters(spark, sf):
     return cat.admission_counts(_admitted(spark, sf))
 
 
+@add("run_counters_observed", ORACLES["run_counters"])
+def run_counters_observed(spark, sf):
+    """The counters of the pass that writes the admitted rows; nothing is read again."""
+    run = metrics.RunMetrics()
+    materialize(run.counted("admission", _admitted(spark, sf), **metrics.admission_counters()))
+    counted = run.values()["admission"]
+    names = ("ingested", "skipped_existing", "skipped_pii")
+    return spark.createDataFrame([tuple(counted[n] for n in names)], ", ".join(f"{n} long" for n in names))
+
+
+@add("log_fields", """
+    select event_type, key, json_type(props, '$.' || key) as type, count(*) as n,
+        min((props ->> ('$.' || key))::double) as least, max((props ->> ('$.' || key))::double) as greatest
+    from (select event_type, props::json as props, unnest(json_keys(props::json)) as key from events where json_valid(props)) group by all""")
+def log_fields(spark, sf):
+    """The open fields of the event log by kind of event."""
+    log = variant_log.parsed(tables.events_log(spark, sf).select("event_type", "props"), "props")
+    found = variant_log.inventory(log, "event_type")
+    kind = F.when(F.col("type") == "BIGINT", "UBIGINT").when(F.col("type") == "STRING", "VARCHAR").otherwise(F.col("type"))
+    return found.withColumn("type", kind)
+
+
+_STORED = """
+    stored(version, doc_id, n_chars, lang) as (
+        select 0, doc_id, n_chars, lang from documents where doc_id % 2 = 0
+        union all select 1, doc_id, n_chars, lang from documents
+        union all select 2, doc_id, case when doc_id % 10 = 0 then -1 else n_chars end, lang from documents
+        union all select 3, doc_id, n_chars, lang from documents where doc_id % 3 = 0)"""
+
+
+@add("table_as_of", duck.query(
+    """select version::int as version, lang, count(*) as n, sum(n_chars)::bigint as chars, max(doc_id) as last from stored group by all""", extra=_STORED))
+def table_as_of(spark, sf):
+    """Every version of a table after an append, another, a merge and an overwrite, read after all of them."""
+    rows = tables.table(spark, sf, "documents").select("doc_id", "n_chars", "lang")
+    stored = snapshots.VersionedTable(spark, f"{work_dir(spark)}/{spark.sparkContext.applicationId}/versions-{uuid.uuid4().hex}", ("doc_id",))
+    stored.append(rows.where("doc_id % 2 = 0"))
+    stored.append(rows.where("doc_id % 2 = 1"))
+    stored.merge(rows.where("doc_id % 10 = 0").withColumn("n_chars", F.lit(-1).cast("long")), "doc_id")
+    stored.overwrite(rows.where("doc_id % 3 = 0"))
+    out = None
+    for version in range(4):
+        one = stored.read(version).groupBy("lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"), F.max("doc_id").alias("last"))
+        one = one.withColumn("version", F.lit(version))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+# A page's links lead to the pages after it on its host, to others, to files and to assets;
+# which, the given addresses and the number of the link decide.
+_CRAWL = r"""
+    hosts as (select page_id, url, regexp_extract(url, '^https?://([^/?#]+)', 1) as host,
+        row_number() over (partition by regexp_extract(url, '^https?://([^/?#]+)', 1) order by page_id) as nth,
+        count(*) over (partition by regexp_extract(url, '^https?://([^/?#]+)', 1)) as many from pages),
+    hrefs as (select page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) as href, generate_subscripts(regexp_extract_all(html, '<a href="([^"]*)"', 1), 1) - 1 as position from pages),
+    linked as (select h.url as page_url, position, case
+            when length(href) % 7 = 0 then 'https://' || h.host || '/style' || position || '.css'
+            when length(href) % 5 = 0 then 'https://' || h.host || '/papers/' || h.page_id % 50 || '.pdf'
+            when length(href) % 2 = 0 then n.url else o.url end as target, href as title
+        from hrefs join hosts h using (page_id)
+        join hosts n on n.host = h.host and n.nth = (h.nth + position * 3) % h.many + 1
+        join hosts o on o.page_id = (h.page_id * 31 + position * 17) % (select count(*) from pages)),
+    own as (select *, lower(target) like '%.pdf' as pdf from linked where regexp_extract(target, '^https?://([^/?#]+)', 1) = (select host from hosts order by many desc, host limit 1)),
+    reach(url, hop) as (
+        select min(url), 0 from hosts where host = (select host from hosts order by many desc, host limit 1)
+        union select target, hop + 1 from reach join own on page_url = url and not pdf and lower(target) not like '%.css' where hop < 6),
+    firsts as (select url, min(hop) as hop from reach group by url)"""
+
+
+@add("link_crawl", duck.query(
+    """select url, 'page' as kind, hop from firsts
+       union all select target, 'pdf', min(hop) from firsts join own on page_url = url and pdf group by target""", recursive=True, extra=_CRAWL))
+def link_crawl(spark, sf):
+    """Six hops over the links of the host with most pages, from its first address."""
+    pages = tables.table(spark, sf, "pages").withColumn("host", crawl.host(F.col("url")))
+    own = pages.groupBy("host").agg(F.count("*").alias("many"))
+    by_host = Window.partitionBy("host").orderBy("page_id")
+    hosts = materialize(pages.select("page_id", "url", "host", F.row_number().over(by_host).alias("nth")).join(own, "host"))
+    anchors = crawl.page_links(pages).withColumn("href", F.regexp_extract("target", "^[^:]+://[^/]*(.*)$", 1))
+    size = F.length("href")
+    site = F.concat(F.lit("https://"), F.col("host"))
+    rows = anchors.join(hosts.withColumnRenamed("url", "page_url"), "page_url")
+    near = hosts.select(F.col("host").alias("h"), F.col("nth").alias("to"), F.col("url").alias("next_url"))
+    far = hosts.select(F.col("page_id").alias("other"), F.col("url").alias("other_url"))
+    total = hosts.agg(F.count("*")).scalar()
+    rows = rows.join(near, (F.col("h") == F.col("host")) & (F.col("to") == (F.col("nth") + F.col("position") * 3) % F.col("many") + 1))
+    rows = rows.withColumn("total", total).join(far, F.col("other") == (F.col("page_id") * 31 + F.col("position") * 17) % F.col("total"))
+    target = (F.when(size % 7 == 0, F.concat(site, F.lit("/style"), F.col("position"), F.lit(".css")))
+              .when(size % 5 == 0, F.concat(site, F.lit("/papers/"), F.col("page_id") % 50, F.lit(".pdf")))
+              .when(size % 2 == 0, F.col("next_url")).otherwise(F.col("other_url")))
+    links = rows.select("page_url", "position", target.alias("target"), "title")
+    home = hosts.orderBy(F.desc("many"), "host").select("host").first()["host"]
+    start = hosts.where(F.col("host") == home).agg(F.min("url").alias("url"))
+    return crawl.crawl(links, start, f"https://{home}/", max_hops=6).select("url", "kind", "hop")
+
+
 def source_chunks(spark, sf):
     """Texts of one source as the chunks of one document."""
     return tables.document_chunks(spark, sf).withColumns(
