@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from docloom.llm import (
     decontam, langid, lexical_rank, multiset_hash, oracles, phrases, pii, quality_cnn, rules, simhash, substrings, tokens, toxicity,
 )
-from docloom.llm.common import fold, labelled_sample
+from docloom.llm.common import fold, labelled_sample, written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,7 +72,9 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.length_table(tokens.length_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+    counts = tokens.length_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    # Both sides of the table's join read the histogram, a row per length; texts are read once.
+    return tokens.length_table(written(counts, "length-counts"))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
