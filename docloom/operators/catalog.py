@@ -11,6 +11,7 @@ from docloom.config import DEFAULT, Settings
 from docloom.functions import identity, quality
 from docloom.functions.dates import catalog_date
 from docloom.functions.urls import content_type
+from docloom.operators.merge import first_of_each_key
 from docloom.operators.ranking import global_rank
 from docloom.session import keep_derived, let
 
@@ -80,10 +81,9 @@ def upsert(catalog: DataFrame, incoming: DataFrame) -> DataFrame:
     """Replace rows with the same document_id, append the rest, rank again.
 
     Of several incoming rows for one document the latest ingestion stays (of equal ones
-    the smallest title, then link).
+    the smallest title, then link).  Rows without a document_id are all added.
     """
-    latest = Window.partitionBy("document_id").orderBy(F.col("ingested_at").desc_nulls_last(), "document_title", "source_url")
-    incoming = incoming.withColumn("_n", F.row_number().over(latest)).filter("_n = 1").drop("_n")
+    incoming = first_of_each_key(incoming, "document_id", [F.col("ingested_at").desc_nulls_last(), F.col("document_title"), F.col("source_url")])
     kept = catalog.drop("chronological_rank").join(
         incoming.select("document_id"), "document_id", "left_anti"
     )

@@ -5,7 +5,7 @@ Tables are merged DataFrame-in, DataFrame-out; a sink then overwrites the target
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, NumericType, StringType
 
@@ -40,9 +40,26 @@ def to_embed(chunks: DataFrame, stored: DataFrame) -> DataFrame:
     return classify_changes(chunks, stored).filter(F.col("change") != "unchanged").drop("change")
 
 
-def upsert(stored: DataFrame, incoming: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """Incoming rows replace stored rows with the same key; of repeated incoming keys one row stays."""
-    incoming = incoming.dropDuplicates([key])
+def first_of_each_key(rows: DataFrame, key: str, order: list[Column] | None = None) -> DataFrame:
+    """Of rows with one key the first by ``order``; rows without a key are all kept.
+
+    Without an order the row with the smallest hash of its columns stays, so that the choice
+    does not depend on how the rows arrive.
+    """
+    by = order or [F.xxhash64(*(c for c in rows.columns if c != key)) if len(rows.columns) > 1 else F.col(key)]
+    # Rows without a key have nothing to be ranked among and stay out of the shuffle by key.
+    keyed, loose = rows.where(F.col(key).isNotNull()), rows.where(F.col(key).isNull())
+    first = keyed.withColumn("_nth", F.row_number().over(Window.partitionBy(key).orderBy(*by))).where("_nth = 1").drop("_nth")
+    return first.unionByName(loose)
+
+
+def upsert(stored: DataFrame, incoming: DataFrame, key: str = "chunk_id", order: list[Column] | None = None) -> DataFrame:
+    """Incoming rows replace stored rows with the same key.
+
+    Of repeated incoming keys the first by ``order`` stays (see ``first_of_each_key``); rows
+    whose key is NULL replace nothing and are all added.
+    """
+    incoming = first_of_each_key(incoming, key, order)
     return stored.join(incoming.select(key), key, "left_anti").unionByName(incoming)
 
 

@@ -113,6 +113,40 @@ def upsert_merge(spark, sf):
     return cat.upsert(rows, new).select("document_id", "ingested_at", "document_title", "chronological_rank")
 
 
+_INCOMING = """
+    incoming as (select case when doc_id % 7 = 0 then null else document_id end as document_id, doc_id, '2026-06-1' || part || 'T00:00:00Z' as ingested_at,
+        document_title || ' (part ' || part || ')' as document_title from catalog, (values (1), (2)) as parts(part) where doc_id % 3 = 0),
+    chosen as (select document_id, doc_id, ingested_at, document_title from incoming where document_id is null
+        union all select document_id, doc_id, ingested_at, document_title from incoming where document_id is not null
+            qualify row_number() over (partition by document_id order by ingested_at desc, document_title) = 1)"""
+
+
+@add("upsert_loose_rows", duck.query(
+    """select document_id, ingested_at, document_title from chosen
+       union all select document_id, ingested_at, document_title from catalog where document_id not in (select document_id from chosen where document_id is not null)""",
+    "catalog", extra=_INCOMING))
+def upsert_loose_rows(spark, sf):
+    """Incoming rows twice each, some without a key: the latest of a key stays, loose ones all do."""
+    rows = tables.catalog(spark, sf)
+    new = rows.where("doc_id % 3 = 0").withColumn("part", F.explode(F.array(F.lit("1"), F.lit("2")))).withColumns({
+        "document_id": F.when(F.col("doc_id") % 7 != 0, F.col("document_id")),
+        "ingested_at": F.concat(F.lit("2026-06-1"), "part", F.lit("T00:00:00Z")),
+        "document_title": F.concat("document_title", F.lit(" (part "), "part", F.lit(")")),
+    }).drop("part")
+    return cat.upsert(rows, new).select("document_id", "ingested_at", "document_title")
+
+
+@add("vector_upsert_loose_rows", duck.query(
+    """select vec_id, label::bigint as label from embeddings where vec_id % 3 <> 0 or vec_id % 7 = 0
+       union all select case when vec_id % 7 <> 0 then vec_id end, label + part from embeddings, (values (100), (200)) as parts(part)
+       where vec_id % 3 = 0 and (vec_id % 7 = 0 or part = 200)"""))
+def vector_upsert_loose_rows(spark, sf):
+    unit = vector.unit_vectors(tables.table(spark, sf, "embeddings"))
+    new = unit.where("vec_id % 3 = 0").withColumn("part", F.explode(F.array(F.lit(100), F.lit(200)))).withColumns({
+        "vec_id": F.when(F.col("vec_id") % 7 != 0, F.col("vec_id")), "label": F.col("label") + F.col("part")}).drop("part")
+    return merge.upsert(unit, new, "vec_id", [F.desc("label")]).select("vec_id", F.col("label").cast("bigint").alias("label"))
+
+
 @add("retention_prune", duck.query(
     f"select document_id, case when r <= 20 then 'kept' else 'tombstone' end as fate from (select document_id, {_RANK} as r from catalog)", "catalog"))
 def retention_prune(spark, sf):
