@@ -1,7 +1,9 @@
 import json
 import pathlib
+import time
 
 import pytest
+from conftest import SF
 from pyspark.sql import functions as F
 
 from docloom import schemas
@@ -14,6 +16,7 @@ from docloom.sources import files, json_tables, lake, listing_pages
 from docloom.streaming import audit as audit_stream
 from docloom.streaming import documents as document_stream
 from docloom.streaming import sessions as session_stream
+from docloom.workload import table_queries
 
 NOW = "2026-06-02T00:00:00Z"
 ARTICLE = """<html><head><title>Asthma screening accuracy in children</title><script>x()</script></head>
@@ -392,6 +395,63 @@ def test_session_stream(spark, tmp_path):
     assert set(got) == {"s"} and got["s"].allowed and got["s"].verified == 1
 
 
+def session_events(spark):
+    """The given conversations as the events of their sessions."""
+    citations, cited, marks = table_queries._session_tables(spark, SF)
+    parts = [
+        citations.select("session_id", F.lit("citation").alias("kind"), "index", "chunk_id"),
+        cited.select("session_id", F.lit("cited").alias("kind"), "index", F.lit(None).cast("string").alias("chunk_id")),
+        marks.select("session_id", F.lit("verify").alias("kind"), F.lit(None).cast("int").alias("index"), "chunk_id"),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("session_id", F.col("session_id").cast("string"))
+
+
+def test_session_stream_over_conversations(spark, tmp_path):
+    """The stream's gates and its stored state are those of the batch operators over the same table."""
+    session_events(spark).repartition(3).write.parquet(str(tmp_path / "events"))
+    events = spark.readStream.schema(session_stream.EVENTS).option("maxFilesPerTrigger", 10).parquet(str(tmp_path / "events"))
+    query = (session_stream.gate_updates(events).writeStream.outputMode("update")
+             .foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(str(tmp_path / "out")))
+             .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start())
+    query.awaitTermination()
+    got = {(r.session_id, r.total, r.verified, r.allowed) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {(str(r.session_id), r.total, r.verified, r.allowed) for r in table_queries.export_gate(spark, SF).collect()}
+    stored = session_stream.stored_citations(spark, str(tmp_path / "cp"))
+    citations, cited, _ = table_queries._session_tables(spark, SF)
+    scope = sessions.export_scope(stored, cited.withColumn("session_id", F.col("session_id").cast("string")))
+    want = table_queries.session_citations(spark, SF)
+    assert {(r.session_id, r["index"], r.chunk_id) for r in scope.collect()} == {(str(r.session_id), r["index"], r.chunk_id) for r in want.collect()}
+
+
+def test_expired_session_is_gone(spark, tmp_path, request):
+    setting = "spark.sql.streaming.noDataMicroBatches.enabled"
+    spark.conf.set(setting, "false")
+    request.addfinalizer(lambda: spark.conf.unset(setting))
+    source = str(tmp_path / "events")
+
+    def send(*rows):
+        spark.createDataFrame(rows, session_stream.EVENTS).coalesce(1).write.mode("append").parquet(source)
+
+    def run(lifetime):
+        events = spark.readStream.schema(session_stream.EVENTS).parquet(source)
+        query = (session_stream.gate_updates(events, lifetime).writeStream.outputMode("update")
+                 .foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(str(tmp_path / "out")))
+                 .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start())
+        query.awaitTermination()
+        return {r.session_id: r for r in spark.read.schema(session_stream.GATE).parquet(str(tmp_path / "out")).collect()}
+
+    send(("old", "citation", 1, "a"), ("old", "verify", None, "a"), ("kept", "citation", 1, "k"))
+    assert run(1)["old"].allowed
+    time.sleep(0.2)
+    send(("kept", "citation", 2, "l"), ("new", "citation", 1, "n"))
+    run(3_600_000)
+    live = {r.session_id for r in session_stream.stored_citations(spark, str(tmp_path / "cp")).collect()}
+    assert "old" not in live and "new" in live
+    send(("old", "cited", 1, None), ("new", "verify", None, "n"))
+    got = run(3_600_000)
+    assert got["old"].total == 0 and not got["old"].allowed and got["new"].allowed
+
+
 def test_audit_stream_appends_once(spark, tmp_path):
     source, target = str(tmp_path / "in"), str(tmp_path / "log")
     spark.createDataFrame([(NOW, "e", None, {"k": "v"})], schemas.LOG).write.parquet(source)
