@@ -77,6 +77,43 @@ def test_listing_source_reads_pages(spark, tmp_path):
     assert [r.page_order for r in rows.orderBy("page_order").collect()] == [1, 2]
 
 
+def test_unreadable_page_fails_instead_of_ending_the_listing(spark, tmp_path):
+    (tmp_path / "p1.html").write_text(LISTING)
+    (tmp_path / "p2.html").mkdir()  # there, but not to be read
+    (tmp_path / "p3.html").write_text(LISTING)
+    listing_pages.register(spark)
+    source = spark.read.format("listing_pages").option("url", f"file://{tmp_path}/p{{page}}.html").option("pages", 3).option("pause", 0)
+    with pytest.raises(Exception, match="page 2 could not be read"):
+        source.load().collect()
+
+
+def test_listing_stream_loses_no_page(spark, tmp_path):
+    """A batch with an unreadable page fails, and after a restart is read again; later pages follow."""
+    listing_pages.register(spark)
+    for n in (1, 3):
+        (tmp_path / f"p{n}.html").write_text(f"page {n}")
+    (tmp_path / "p2.html").mkdir()
+
+    def run(pages):
+        rows = spark.readStream.format("listing_pages").option("url", f"file://{tmp_path}/p{{page}}.html").option("pages", pages).option("pause", 0).load()
+        query = rows.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).start()
+        try:
+            query.processAllAvailable()
+        finally:
+            query.stop()
+
+    with pytest.raises(Exception, match="could not be read"):
+        run(3)
+    (tmp_path / "p2.html").rmdir()
+    (tmp_path / "p2.html").write_text("page 2")
+    run(3)
+    read = lambda: sorted((r.page_order, r.html) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert read() == [(n, f"page {n}") for n in (1, 2, 3)]
+    (tmp_path / "p4.html").write_text("page 4")
+    run(6)
+    assert read() == [(n, f"page {n}") for n in (1, 2, 3, 4)]
+
+
 def test_paged_discovery_stops(spark):
     rows = [(1, "a"), (1, "b"), (2, "c"), (3, "a"), (4, "d")]
     items = spark.createDataFrame([(p, u, "2026-06-01", i) for i, (p, u) in enumerate(rows)],
