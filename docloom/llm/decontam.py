@@ -125,7 +125,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_
     blocks and the fingerprints differ in RADIUS bits at most; the index is complete for the
     radius.  The exact similarity of shingle multisets then decides.  Over windows cut or
     replaced at an end or in the middle down to the similarity of 0.8 exactly, items of 17 to
-    100 words, every fingerprint of 25,000 lay within the radius (11 bits: 92 to 99 %).
+    100 words, every fingerprint of over 20,000 lay within the radius (11 bits: 92 to 99 %).
 
     Null and empty texts and items have no windows; equal items each match; of equal windows
     the first counts; null item ids are kept.  Items shorter than a shingle are one shingle.
