@@ -5,6 +5,8 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,8 +88,6 @@ def test_shard_intervals_count_every_window():
     for piece in ("a b a b a", "b a b", "c", "a b a"):
         own = [*piece.split(), ""]
         want.update(tuple(own[i:i + 3]) for i in range(len(own) - 2))
-        if len(own) > 2:
-            pass
     assert {k: v for k, v in got.items() if k[2]} == {k: v for k, v in want.items() if k[2]}
     # With ends, the windows of a pair add up to the pair.
     pairs = Counter()
@@ -241,17 +241,12 @@ def test_search_of_nothing(spark):
     assert lexical_rank.search(docs_of(spark, SEARCHED), items.limit(0)).count() == 0
 
 
-def test_buckets_hold_every_row_once():
-    import numpy as np
-    import pyarrow as pa
-
+def test_buckets_hold_every_row_once(monkeypatch):
     norms = np.sort(np.concatenate((np.geomspace(1, 1e6, 40), np.full(30, 777.0))))[::-1]
     batch = pa.RecordBatch.from_arrays([pa.array(np.arange(70)), pa.array(norms), pa.array([b""] * 70), pa.array([b""] * 70)], names=["id", "norm", "terms", "impacts"])
     parts = [batch.slice(k, 9) for k in range(0, 70, 9)]
     for least, most in ((2, 4), (5, 16), (1, 1)):
-        lexical_rank.LEAST_ROWS, lexical_rank.BUCKET_ROWS, kept = least, most, (lexical_rank.LEAST_ROWS, lexical_rank.BUCKET_ROWS)
-        try:
-            own = [b.ids.to_pylist() for b in lexical_rank._buckets(parts, 1)]
-        finally:
-            lexical_rank.LEAST_ROWS, lexical_rank.BUCKET_ROWS = 512, 8192
+        monkeypatch.setattr(lexical_rank, "LEAST_ROWS", least)
+        monkeypatch.setattr(lexical_rank, "BUCKET_ROWS", most)
+        own = [b.ids.to_pylist() for b in lexical_rank._buckets(parts, 1)]
         assert [i for ids in own for i in ids] == list(range(70)) and max(map(len, own)) <= most
