@@ -221,6 +221,26 @@ BLOCK_TAGS = (
     "blockquote", "pre", "table", "tr",
 )
 HEADING_TAGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+VOID_TAGS = (
+    "area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source",
+    "track", "wbr",
+)
+# Named character references of HTML that pages use: the name as written, and the character.
+CHARACTER_REFERENCES = (
+    ("&quot;", "\""), ("&amp;", "&"), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"),
+    ("&nbsp;", "\u00a0"), ("&cent;", "\u00a2"), ("&pound;", "\u00a3"), ("&sect;", "\u00a7"),
+    ("&copy;", "\u00a9"), ("&laquo;", "\u00ab"), ("&reg;", "\u00ae"), ("&deg;", "\u00b0"),
+    ("&plusmn;", "\u00b1"), ("&micro;", "\u00b5"), ("&para;", "\u00b6"), ("&middot;", "\u00b7"),
+    ("&raquo;", "\u00bb"), ("&frac12;", "\u00bd"), ("&times;", "\u00d7"), ("&auml;", "\u00e4"),
+    ("&ccedil;", "\u00e7"), ("&egrave;", "\u00e8"), ("&eacute;", "\u00e9"), ("&ntilde;", "\u00f1"),
+    ("&ouml;", "\u00f6"), ("&divide;", "\u00f7"), ("&uuml;", "\u00fc"), ("&szlig;", "\u00df"),
+    ("&alpha;", "\u03b1"), ("&beta;", "\u03b2"), ("&gamma;", "\u03b3"), ("&mu;", "\u03bc"),
+    ("&ensp;", "\u2002"), ("&emsp;", "\u2003"), ("&thinsp;", "\u2009"), ("&ndash;", "\u2013"),
+    ("&mdash;", "\u2014"), ("&lsquo;", "\u2018"), ("&rsquo;", "\u2019"), ("&ldquo;", "\u201c"),
+    ("&rdquo;", "\u201d"), ("&bull;", "\u2022"), ("&hellip;", "\u2026"), ("&euro;", "\u20ac"),
+    ("&trade;", "\u2122"), ("&rarr;", "\u2192"), ("&minus;", "\u2212"), ("&le;", "\u2264"),
+    ("&ge;", "\u2265"),
+)
 
 # --- templates and messages -----------------------------------------------------------
 QUESTION_FRAMES = (

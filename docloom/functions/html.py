@@ -1,271 +1,288 @@
-"""Web pages to text pages and links.
+"""Web pages to text pages, links and article bodies, with DataFrame functions only.
 
-Markup needs a parser, so this is the one place with per-row Python: a small tree of the
-page, walked for sections or links.  Spark distributes the rows as Arrow batches.
+A page is split into tokens, each a tag and the text behind it.  Running sums number the
+nesting of every kind of tag, so an opening and its closing tag are neighbours within
+(page, tag, level), and an element covers the tokens between them.  All of it happens in
+windows inside a page, after one exchange by the page's key.
+
+Defined cases: an element that is never closed ends at the next tag; a closing tag
+without an opening one is ignored; markup that is null or empty has no tokens.  The key
+must not be null and must name one page.
 """
 
 from __future__ import annotations
 
-import unicodedata
-from html.parser import HTMLParser
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from docloom.functions import fixed_values as fv
-from docloom.functions.text import strip
-
-_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source",
-         "track", "wbr"}
-_CLOSES_P = set(fv.BLOCK_TAGS) | {"ul", "ol", "dl", "main", "header", "footer", "nav", "aside",
-                                  "form", "hr", "figure"}
-_SELF_CLOSING = {"li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
-                 "option": {"option"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
-_SCOPE = {"table", "ul", "ol", "div", "section", "article", "body", "html", "blockquote", "dl"}
-
-
-class Node:
-    __slots__ = ("tag", "attrs", "children", "parent")
-
-    def __init__(self, tag, attrs=None, parent=None):
-        self.tag, self.attrs, self.children, self.parent = tag, attrs or {}, [], parent
-
-    def walk(self):
-        for child in self.children:
-            if isinstance(child, Node):
-                yield child
-                yield from child.walk()
-
-    def text(self, separator=" "):
-        parts = []
-        stack = [iter(self.children)]
-        while stack:
-            for child in stack[-1]:
-                if isinstance(child, Node):
-                    stack.append(iter(child.children))
-                    break
-                if child.strip():
-                    parts.append(child.strip())
-            else:
-                stack.pop()
-        return separator.join(parts)
-
-    def classes(self):
-        return (self.attrs.get("class") or "").split()
-
-    def up(self, tag):
-        node = self.parent
-        while node is not None and node.tag != tag:
-            node = node.parent
-        return node
-
-
-class _Builder(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.root = self.here = Node("#root")
-
-    def _close_first(self, tags, scope):
-        node = self.here
-        while node.parent is not None and node.tag not in scope:
-            if node.tag in tags:
-                self.here = node.parent
-                return
-            node = node.parent
-
-    def handle_starttag(self, tag, attrs):
-        if tag in _CLOSES_P:
-            self._close_first({"p"}, _SCOPE)
-        if tag in _SELF_CLOSING:
-            self._close_first(_SELF_CLOSING[tag], {"table", "ul", "ol", "dl"} - {tag})
-        node = Node(tag, dict(attrs), self.here)
-        self.here.children.append(node)
-        if tag not in _VOID:
-            self.here = node
-
-    def handle_startendtag(self, tag, attrs):
-        self.here.children.append(Node(tag, dict(attrs), self.here))
-
-    def handle_endtag(self, tag):
-        node = self.here
-        while node is not None and node.tag != tag:
-            node = node.parent
-        if node is not None and node.parent is not None:
-            self.here = node.parent
-
-    def handle_data(self, data):
-        self.here.children.append(data)
-
-
-def parse(markup: str) -> Node:
-    builder = _Builder()
-    builder.feed(markup or "")
-    builder.close()
-    return builder.root
-
-
-def _is_chrome(node: Node) -> bool:
-    if node.tag in fv.STRIP_TAGS:
-        return True
-    classes, attrs = node.classes(), node.attrs
-    return (
-        any(c in fv.STRIP_CLASSES for c in classes)
-        or any(attrs.get(k) == v for k, v in fv.STRIP_ATTRIBUTES)
-        or fv.STRIP_ARIA_PART in (attrs.get("aria-label") or "")
-        or any(part in (attrs.get("class") or "") for part in fv.STRIP_CLASS_PARTS)
-    )
+from docloom.functions.text import normalize_page_text, strip
+
+_RAW_TEXT = r"(?is)<!--.*?(?:-->|\z)|<(script|style)\b.*?</\1\s*>"
+# A quote that does not end before the next "<" is no quote.
+_TAG = r"""<[A-Za-z/!?](?:[^<>"']++|"[^"<]*+"|'[^'<]*+')*+>|<[A-Za-z/!?][^<>]*+>?"""
+_TOKEN = rf"(?:{_TAG})[^<]*+(?:<(?![A-Za-z/!?])[^<]*+)*+"
+_REFERENCE = r"&#?[A-Za-z0-9]++;|[^&]++|&"
+
+PAGES = "array<struct<page_number:int,text:string>>"
+
+
+def unescape(text: Column) -> Column:
+    """Text with its character references resolved; unknown ones stay as they are."""
+    named = F.create_map(*[F.lit(v) for pair in fv.CHARACTER_REFERENCES for v in pair])
+
+    def one(piece):
+        number = F.coalesce(
+            F.regexp_extract(piece, r"^&#(\d{1,9});$", 1).try_cast("int"),
+            F.conv(F.nullif(F.regexp_extract(piece, r"^&#[xX]([0-9A-Fa-f]{1,7});$", 1), F.lit("")), 16, 10).try_cast("int"),
+        )
+        valid = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
+        point = F.decode(F.unhex(F.lpad(F.hex(F.when(valid, number).otherwise(0xFFFD)), 8, "0")), "UTF-32")
+        return (
+            F.when(~piece.startswith("&"), piece)
+            .when(number.isNotNull(), point)
+            .otherwise(F.coalesce(F.try_element_at(named, piece), piece))
+        )
+
+    pieces = F.transform(F.regexp_extract_all(text, F.lit(_REFERENCE), F.lit(0)), one)
+    return F.when(F.contains(text, F.lit("&")), F.array_join(pieces, "")).otherwise(text)
+
+
+def _attribute(name: str, mark="opened") -> Column:
+    value = F.regexp_extract(mark, rf"""(?is)\s{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", 1)
+    return F.btrim(value, F.lit("\"'"))
 
 
-def _prune(node: Node) -> None:
-    stack = [node]
-    while stack:
-        here = stack.pop()
-        here.children = [c for c in here.children if not (isinstance(c, Node) and _is_chrome(c))]
-        stack.extend(c for c in here.children if isinstance(c, Node))
-
-
-def page_texts(markup: str) -> list[dict]:
-    """One page per heading (its text and the siblings up to the next heading); a page
-    without headings becomes one page of its blocks."""
-    root = parse(markup)
-    _prune(root)
-    pages = []
-    headings = [n for n in root.walk() if n.tag in fv.HEADING_TAGS]
-    for number, heading in enumerate(headings, start=1):
-        parts = [heading.text()]
-        siblings = heading.parent.children
-        for sibling in siblings[siblings.index(heading) + 1:]:
-            if isinstance(sibling, Node):
-                if sibling.tag in fv.HEADING_TAGS:
-                    break
-                parts.append(sibling.text())
-        text = "\n\n".join(p for p in parts if p)
-        if text.strip():
-            pages.append({"page_number": number, "text": text})
-    if pages:
-        return pages
-    body = next((n for n in root.walk() if n.tag == "body"), root)
-    blocks = [t for t in (n.text() for n in body.walk() if n.tag in fv.BLOCK_TAGS) if t]
-    text = "\n\n".join(blocks or [body.text("\n")])
-    return [{"page_number": 1, "text": text}] if text.strip() else []
-
-
-def anchors(markup: str) -> list[dict]:
-    """Links in document order with the listing row and date they sit in."""
-    out = []
-    for node in parse(markup).walk():
-        if node.tag != "a" or not (node.attrs.get("href") or "").strip():
-            continue
-        article = node.up("article")
-        stamp = next(
-            (n.attrs["datetime"] for n in (article.walk() if article else ())
-             if n.tag == "time" and n.attrs.get("datetime")), None)
-        row, up = None, node.parent
-        while up is not None and row is None:
-            c = up.classes()
-            if ({"publication-item", "report-item", "views-row"} & set(c)
-                    or (up.tag == "article" and {"publication", "report"} & set(c))
-                    or (up.tag == "tr" and "publication-row" in c)):
-                row = up
-            up = up.parent
-        first = row_title = row_date = kind = None
-        if row is not None:
-            links = [n for n in row.walk() if n.tag == "a" and (n.attrs.get("href") or "").strip()]
-            kind = "publication" if any("publication" in c for c in row.classes()) else "report"
-            if kind == "report":
-                links = [n for n in links if n.attrs["href"].endswith(".pdf")
-                         or "/reports/" in n.attrs["href"] or "report-link" in n.classes()]
-            first = bool(links) and links[0] is node
-            title = next((n for n in row.walk() if n.tag in ("h2", "h3") or "title" in n.classes()), None)
-            dated = next((n for n in row.walk() if n.tag == "time" or "date" in n.classes()), None)
-            row_title = title.text("") if title else None
-            row_date = dated.text("") if dated else None
-        out.append({
-            "position": len(out), "href": node.attrs["href"].strip(), "text": node.text(""),
-            "spaced_text": node.text(" "), "article_time": stamp, "row_kind": kind,
-            "row_first": first, "row_title": row_title, "row_date": row_date,
-        })
-    return out
-
-
-def article_body(markup: str, title: str, url: str) -> str:
-    """The article element of a publisher page wrapped with its title and address."""
-    from html import escape
-
-    root = parse(markup)
-    tests = (
-        lambda n: n.tag == "div" and "c-article-body" in n.classes(),
-        lambda n: n.tag == "article" and n.attrs.get("data-test") == "article-body",
-        lambda n: n.tag == "article" and n.up("main") is not None,
-        lambda n: n.tag == "main",
+def _classes() -> Column:
+    return F.split(_attribute("class"), r"\s+")
+
+
+def _has_class(*names: str) -> Column:
+    return F.arrays_overlap(_classes(), F.array(*[F.lit(n) for n in names]))
+
+
+def elements(pages: DataFrame, key: list[str], markup: str = "html") -> DataFrame:
+    """One row per token: key, pos, mark (the tag as written), tag, step, raw, opened, closed, end.
+
+    ``step`` is 1 for an opening tag, -1 for a closing one and 0 for a void one; ``raw`` is the
+    text behind the tag; ``opened`` is the opening tag of the element that the token opens or
+    closes; ``closed`` tells whether it has both; ``end`` is the position behind an opened
+    element's last token, seen from its opening tag.
+    """
+    whole = F.concat(F.lit("<!>"), F.regexp_replace(markup, _RAW_TEXT, " "))
+    tokens = pages.filter(F.col(markup) != "").select(
+        *key, F.posexplode(F.regexp_extract_all(whole, F.lit(_TOKEN), F.lit(0))).alias("pos", "token")
+    )
+    tokens = tokens.withColumn("mark", F.regexp_extract("token", f"^(?:{_TAG})", 0))
+    tag = F.lower(F.regexp_extract("mark", r"^</?([A-Za-z][^\s/>]*)", 1))
+    tokens = tokens.select(
+        *key, "pos", "mark", tag.alias("tag"), F.substr("token", F.length("mark") + 1).alias("raw")
     )
-    body = next((n for test in tests for n in root.walk() if test(n)), None)
-    inner = render(body) if body is not None else f"<p>{escape(root.text()[:12000])}</p>"
-    return (
-        f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>{escape(title)}</title>'
-        f'<link rel="canonical" href="{escape(url)}"/></head>'
-        f'<body><article data-source="nature-live">{inner}</article></body></html>'
+    step = (
+        F.when(F.col("mark").startswith("</"), -1)
+        .when(F.col("tag").isin("", *fv.VOID_TAGS) | F.col("mark").endswith("/>"), 0)
+        .otherwise(1)
+    )
+    tokens = tokens.withColumn("step", step).repartition(*key)
+    level = F.sum("step").over(Window.partitionBy(*key, "tag").orderBy("pos"))
+    # A closing tag lies on the level of the tag it closes; void tags on none.
+    level = F.when(F.col("step") != 0, level + (F.col("step") == -1).cast("int"))
+    same = Window.partitionBy(*key, "tag", "level").orderBy("pos")
+    opens, closes = F.col("step") == 1, F.col("step") == -1
+    before = F.when(closes & (F.lag("step").over(same) == 1), F.lag("mark").over(same))
+    after = F.when(opens & (F.lead("step").over(same) == -1), F.lead("pos").over(same))
+    out = tokens.withColumn("level", level).select(
+        *tokens.columns, F.when(closes, before).otherwise(F.col("mark")).alias("opened"), after.alias("_after"),
+    )
+    return out.select(
+        *tokens.columns, "opened",
+        F.when(closes, F.col("opened").isNotNull()).otherwise(F.col("_after").isNotNull()).alias("closed"),
+        F.when(opens, F.coalesce("_after", F.col("pos") + 1)).alias("end"),
     )
 
 
-def render(node: Node) -> str:
-    from html import escape
+def _order(key: list[str]):
+    return Window.partitionBy(*key).orderBy("pos")
 
-    attrs = "".join(f' {k}="{escape(v or "")}"' for k, v in node.attrs.items())
-    if node.tag in _VOID:
-        return f"<{node.tag}{attrs}/>"
-    inner = "".join(render(c) if isinstance(c, Node) else escape(c, quote=False) for c in node.children)
-    return f"<{node.tag}{attrs}>{inner}</{node.tag}>"
 
+def _depth(kind: Column, key: list[str]) -> Column:
+    return F.sum(F.when(F.col("closed") & kind, F.col("step")).otherwise(0)).over(_order(key))
 
-PAGES_TYPE = T.ArrayType(
-    T.StructType([T.StructField("page_number", T.IntegerType()), T.StructField("text", T.StringType())])
-)
-ANCHORS_TYPE = T.ArrayType(
-    T.StructType(
-        [T.StructField("position", T.IntegerType())]
-        + [T.StructField(n, T.StringType()) for n in ("href", "text", "spaced_text", "article_time", "row_kind")]
-        + [T.StructField("row_first", T.BooleanType())]
-        + [T.StructField(n, T.StringType()) for n in ("row_title", "row_date")]
-    )
-)
 
+def _inside(kind: Column, key: list[str]) -> Column:
+    alone = kind & ~F.col("closed") & (F.col("step") == 1)
+    return (_depth(kind, key) > 0) | F.coalesce(alone, F.lit(False))
 
-@F.pandas_udf(PAGES_TYPE)
-def extract_pages(markup: pd.Series) -> pd.Series:
-    return markup.map(lambda m: page_texts(unicodedata.normalize("NFC", m or "")))
 
+def _text() -> Column:
+    return strip(unescape(F.col("raw")))
 
-@F.pandas_udf(ANCHORS_TYPE)
-def extract_anchors(markup: pd.Series) -> pd.Series:
-    return markup.map(anchors)
 
+def _joined(pieces: Column, separator: str) -> Column:
+    return F.array_join(F.transform(F.array_sort(pieces), lambda p: p["text"]), separator)
 
-@F.pandas_udf(T.StringType())
-def extract_article(markup: pd.Series, title: pd.Series, url: pd.Series) -> pd.Series:
-    return pd.Series([article_body(*row) for row in zip(markup, title, url)])
 
+def _is_chrome() -> Column:
+    """Page furniture by tag, class, attribute or label; the head is no text either."""
+    label = _attribute("aria-label")
+    tests = _has_class(*fv.STRIP_CLASSES) | F.contains(label, F.lit(fv.STRIP_ARIA_PART))
+    for name, value in fv.STRIP_ATTRIBUTES:
+        tests = tests | (_attribute(name) == value)
+    for part in fv.STRIP_CLASS_PARTS:
+        tests = tests | F.contains(_attribute("class"), F.lit(part))
+    return F.col("tag").isin("head", "title", *fv.STRIP_TAGS) | F.coalesce(tests, F.lit(False))
 
-def with_pages(rows: DataFrame, markup: str = "html") -> DataFrame:
-    """Add ``pages`` of normalised text; a document without any text gets ``error``."""
-    from docloom.functions.text import normalize_page_text
-
-    normal = F.transform(
-        extract_pages(F.col(markup)),
-        lambda p: F.struct(
-            p["page_number"].alias("page_number"),
-            # The parser's helper already composed characters (NFC).
-            normalize_page_text(p["text"], compose=False).alias("text"),
-        ),
+
+def text_pages(pages: DataFrame, key: list[str], markup: str = "html") -> DataFrame:
+    """key and ``pages`` of normalised text, one page per heading; only rows that have text.
+
+    A page is what stands from one heading to the next in document order, whatever elements it
+    lies in.  Text before the first heading is a page of its own, before the others; without
+    headings it is the only one.  Headings without text keep their number.  Blocks are set
+    apart by an empty line, pieces inside a block by a space.
+    """
+    seen = elements(pages, key, markup).withColumn("chrome", _is_chrome())
+    seen = seen.select(*key, "pos", "tag", "step", "raw", _inside(F.col("chrome"), key).alias("hidden"))
+    seen = seen.filter(~F.col("hidden"))
+    heading = F.col("tag").isin(*fv.HEADING_TAGS) & (F.col("step") == 1)
+    numbered = seen.select(
+        *key, "pos", _text().alias("text"),
+        F.sum(heading.cast("int")).over(_order(key)).cast("int").alias("section"),
+        F.sum(F.col("tag").isin(*fv.BLOCK_TAGS).cast("int")).over(_order(key)).alias("block"),
+    ).filter(F.col("text") != "")
+    blocks = numbered.groupBy(*key, "section", "block").agg(
+        _joined(F.collect_list(F.struct("pos", "text")), " ").alias("text")
+    )
+    sections = blocks.groupBy(*key, "section").agg(
+        _joined(F.collect_list(F.struct("block", "text")), "\n\n").alias("text")
+    )
+    sections = sections.withColumn("text", normalize_page_text(F.col("text"))).filter(F.col("text") != "")
+    return sections.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("section", "text"))).alias("s")).select(
+        *key,
+        F.transform("s", lambda p: F.struct(
+            (p["section"] + F.when(F.col("s")[0]["section"] == 0, 1).otherwise(0)).alias("page_number"),
+            p["text"].alias("text"),
+        )).cast(PAGES).alias("pages"),
     )
-    return rows.withColumn("pages", F.filter(normal, lambda p: p["text"] != "")).withColumn(
+
+
+def with_pages(rows: DataFrame, key: str, markup: str = "html") -> DataFrame:
+    """Add ``pages`` of normalised text; a document without any text gets ``error``."""
+    found = rows.join(text_pages(rows, [key], markup), key, "left")
+    return found.withColumn("pages", F.coalesce("pages", F.array().cast(PAGES))).withColumn(
         "error", F.when(F.size("pages") == 0, F.lit("no text extracted"))
     )
 
 
-# --- metadata by pattern: no parser needed, stays in the JVM ---------------------------
+def anchors(pages: DataFrame, key: list[str], markup: str = "html") -> DataFrame:
+    """Links with an address, in document order, with the listing row and article they sit in.
+
+    key, position (from 0), href, text and spaced_text (its pieces joined by nothing and by a space),
+    article_time (the first time of the innermost article), row_kind, row_first (the row's first
+    link of its kind), row_title and row_date.
+    """
+    row_class = _has_class("publication-item", "report-item", "views-row")
+    row_class = row_class | ((F.col("tag") == "article") & _has_class("publication", "report"))
+    row_class = row_class | ((F.col("tag") == "tr") & _has_class("publication-row"))
+    opens = F.col("step") == 1
+    href = F.when(F.col("tag") == "a", F.nullif(strip(unescape(_attribute("href"))), F.lit("")))
+    tokens = elements(pages, key, markup).select(
+        "*", href.alias("href"), F.coalesce(row_class, F.lit(False)).alias("is_row"),
+        (opens & (F.col("tag").isin("h2", "h3") | _has_class("title"))).alias("is_title"),
+        (opens & ((F.col("tag") == "time") | _has_class("date"))).alias("is_date"),
+        F.when(opens & (F.col("tag") == "time"), F.nullif(_attribute("datetime"), F.lit(""))).alias("datetime"),
+    )
+    link = F.col("href").isNotNull()
+    article = (F.col("tag") == "article")
+    tokens = tokens.select(
+        "*", _depth(F.col("is_row"), key).alias("row_depth"), _depth(article, key).alias("article_depth"),
+        F.when(_inside(link, key), F.last(F.when(link & opens, F.col("pos")), True).over(_order(key))).alias("link"),
+    )
+
+    def innermost(kind, depth):
+        start = F.last(F.when(kind & opens & F.col("closed"), F.col("pos")), True)
+        return F.when(F.col(depth) > 0, start.over(Window.partitionBy(*key, depth).orderBy("pos")))
+
+    tokens = tokens.withColumn("row", innermost(F.col("is_row"), "row_depth"))
+    tokens = tokens.withColumn("article", innermost(article, "article_depth"))
+    in_row = Window.partitionBy(*key, "row")
+    first = lambda kind: F.min(F.when(F.col(kind), F.struct("pos", "end"))).over(in_row)
+    tokens = tokens.withColumn("first_title", first("is_title")).withColumn("first_date", first("is_date"))
+    own = F.col("row").isNotNull()
+    covers = lambda e: own & (F.col("pos") >= F.col(e)["pos"]) & (F.col("pos") < F.col(e)["end"])
+    at_link = F.col("pos") == F.col("link")
+    piece = lambda keep: F.collect_list(F.when(keep & (F.col("text") != ""), F.struct("pos", "text")))
+    groups = tokens.withColumn("text", _text()).groupBy(*key, "article", "row", "link").agg(
+        F.max(F.when(at_link, F.col("href"))).alias("href"),
+        F.max(F.when(at_link, F.col("mark"))).alias("opened"),
+        F.max(F.when(F.col("pos") == F.col("row"), F.col("mark"))).alias("row_mark"),
+        piece(F.col("link").isNotNull()).alias("pieces"),
+        piece(covers("first_title")).alias("title"), piece(covers("first_date")).alias("date"),
+        F.bool_or(own & F.col("is_title")).alias("titled"), F.bool_or(own & F.col("is_date")).alias("dated"),
+        F.min(F.when(F.col("datetime").isNotNull(), F.struct("pos", "datetime"))).alias("time"),
+    )
+    kind = F.when(F.col("row").isNotNull(), F.when(
+        F.contains(_attribute("class", F.max("row_mark").over(in_row)), F.lit("publication")), "publication").otherwise("report"))
+    groups = groups.withColumn("row_kind", kind)
+    report_link = F.col("href").endswith(".pdf") | F.contains("href", F.lit("/reports/")) | _has_class("report-link")
+    chosen = F.when((F.col("row_kind") == "publication") | report_link, F.col("link"))
+    together = lambda c, has: F.when(
+        F.bool_or(has).over(in_row) & own, _joined(F.flatten(F.collect_list(c).over(in_row)), ""))
+    found = groups.select(
+        *key, "link", "href", "pieces", "row_kind",
+        F.min("time").over(Window.partitionBy(*key, "article")).alias("time"), "article",
+        F.when(own, F.coalesce(F.min(chosen).over(in_row) == F.col("link"), F.lit(False))).alias("row_first"),
+        together("title", "titled").alias("row_title"), together("date", "dated").alias("row_date"),
+    ).filter(F.col("link").isNotNull())
+    return found.select(
+        *key, (F.row_number().over(Window.partitionBy(*key).orderBy("link")) - 1).alias("position"), "href",
+        _joined(F.col("pieces"), "").alias("text"), _joined(F.col("pieces"), " ").alias("spaced_text"),
+        F.when(F.col("article").isNotNull(), F.col("time")["datetime"]).alias("article_time"),
+        "row_kind", "row_first", "row_title", "row_date",
+    )
+
+
+def _escaped(text: Column) -> Column:
+    for sign, reference in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        text = F.replace(text, F.lit(sign), F.lit(reference))
+    return text
+
+
+def article_pages(pages: DataFrame, key: str, title: str, url: str, markup: str = "html") -> DataFrame:
+    """Rows with ``article``: the page's article element in a page of its own, with title and address.
+
+    The element is the first of the best kind: the publisher's body division, an article
+    marked as body, an article inside the main element, the main element.  A page without any
+    keeps its whole text.  Scripts, styles and comments are left out.
+    """
+    tokens = elements(pages, [key], markup)
+    kind = (
+        F.when((F.col("tag") == "div") & _has_class("c-article-body"), 1)
+        .when((F.col("tag") == "article") & (_attribute("data-test") == "article-body"), 2)
+        .when((F.col("tag") == "article") & _inside(F.col("tag") == "main", [key]), 3)
+        .when(F.col("tag") == "main", 4)
+    )
+    rank = F.when((F.col("step") == 1) & F.col("closed"), kind)
+    tokens = tokens.withColumn("rank", rank).withColumn(
+        "best", F.min(F.when(F.col("rank").isNotNull(), F.struct("rank", "pos", "end"))).over(Window.partitionBy(key)))
+    inside = F.col("pos").between(F.col("best")["pos"], F.col("best")["end"])
+    written = F.concat("mark", F.when(F.col("pos") < F.col("best")["end"], F.col("raw")).otherwise(""))
+    whole = F.when(F.col("best").isNull() & (_text() != ""), F.struct("pos", _text().alias("text")))
+    bodies = tokens.groupBy(key).agg(
+        _joined(F.collect_list(F.when(inside, F.struct("pos", written.alias("text")))), "").alias("_body"),
+        _joined(F.collect_list(whole), " ").alias("_whole"),
+    )
+    inner = F.coalesce(
+        F.nullif("_body", F.lit("")), F.concat(F.lit("<p>"), _escaped(F.coalesce("_whole", F.lit(""))), F.lit("</p>")))
+    article = F.concat(
+        F.lit('<!DOCTYPE html><html><head><meta charset="utf-8"><title>'), _escaped(F.coalesce(title, F.lit(""))),
+        F.lit('</title><link rel="canonical" href="'), _escaped(F.coalesce(url, F.lit(""))),
+        F.lit('"/></head><body><article data-source="nature-live">'), inner, F.lit("</article></body></html>"),
+    )
+    return pages.join(bodies, key, "left").withColumn("article", article).drop("_body", "_whole")
+
+
+# --- metadata by pattern ---------------------------------------------------------------
 
 
 def page_title(markup: Column, default: Column) -> Column:

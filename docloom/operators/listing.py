@@ -7,21 +7,23 @@ from pyspark.sql import functions as F
 
 from docloom.functions import fixed_values as fv
 from docloom.functions.dates import listing_date, year_as_date
-from docloom.functions.html import extract_anchors
+from docloom.functions.html import anchors
 from docloom.functions.urls import absolute_url, content_type
 from docloom.session import let
 
 ITEM = ("source_org", "source_url", "document_title", "publication_date", "content_type", "position")
+# Positions of one page lie below this; those of a second kind of rows lie behind all of the first.
+PAGE_STEP = 2**32
+AFTER_ALL = 2**62
 
 
 def with_anchors(pages: DataFrame, page_order: str, markup: str = "html") -> DataFrame:
-    """One row per link with a position that follows page order, then document order."""
-    links = pages.select(
-        F.col(page_order).alias("page_order"), F.explode(extract_anchors(F.col(markup))).alias("a")
-    ).select("page_order", "a.*")
-    return links.withColumn(
-        "position", F.col("page_order").cast("bigint") * 1_000_000 + F.col("position")
-    )
+    """One row per link with a position that follows page order, then document order.
+
+    ``page_order`` numbers the pages, each once, below 2^29; a page may hold 2^32 links.
+    """
+    links = anchors(pages.select(F.col(page_order).alias("page_order"), markup), ["page_order"], markup)
+    return links.withColumn("position", F.col("page_order").cast("bigint") * PAGE_STEP + F.col("position"))
 
 
 def first_by_url(items: DataFrame) -> DataFrame:
@@ -78,7 +80,7 @@ def publication_items(links: DataFrame) -> DataFrame:
         F.lit("2026-01-01").alias("publication_date"),
         content_type(row_url).alias("content_type"),
         # After every PDF link.
-        (F.col("position") + F.lit(10**15)).alias("position"),
+        (F.col("position") + F.lit(AFTER_ALL)).alias("position"),
     )
     return first_by_url(pdfs.unionByName(rows))
 
@@ -122,7 +124,7 @@ def report_items(links: DataFrame, max_items: int = 20) -> DataFrame:
         ),
         F.coalesce(listing_date(F.col("row_date")), F.lit("2026-01-01")).alias("publication_date"),
         F.lit("pdf").alias("content_type"),
-        (F.col("position") + F.lit(10**15)).alias("position"),
+        (F.col("position") + F.lit(AFTER_ALL)).alias("position"),
     )
     items = first_by_url(pdfs.unionByName(rows))
     return items.orderBy(

@@ -7,9 +7,10 @@ import io
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docloom.config import DEFAULT, Settings
-from docloom.functions.html import PAGES_TYPE, extract_pages
+from docloom.functions.html import text_pages
 from docloom.functions.text import normalize_page_text
 from docloom.functions.urls import is_pdf_content
 
@@ -41,6 +42,9 @@ def pdf_pages(content: bytes) -> list[dict]:
     return [{"page_number": i, "text": t} for i, t in enumerate(texts, start=1) if t.strip()]
 
 
+PAGES_TYPE = T.ArrayType(T.StructType([T.StructField("page_number", T.IntegerType()), T.StructField("text", T.StringType())]))
+
+
 @F.pandas_udf(PAGES_TYPE)
 def extract_pdf(content: pd.Series) -> pd.Series:
     def one(data):
@@ -53,7 +57,7 @@ def extract_pdf(content: pd.Series) -> pd.Series:
 
 
 def with_file_pages(rows: DataFrame, pdf_extractor=extract_pdf) -> DataFrame:
-    """Add ``pages`` and ``error`` to rows with content and content_type.
+    """Add ``pages`` and ``error`` to rows with path, content and content_type; a path is one file.
 
     The two kinds are separated first, so each extractor only sees its own files.
     """
@@ -71,8 +75,9 @@ def with_file_pages(rows: DataFrame, pdf_extractor=extract_pdf) -> DataFrame:
         return out.withColumn("error", F.when(F.size("pages") == 0, missing))
 
     html = rows.filter(F.col("content_type") == "html")
-    text = F.decode("content", "UTF-8")
-    parts = finish(html, extract_pages(text), F.lit("no text extracted"))
+    texts = html.select("path", F.decode("content", "UTF-8").alias("html"))
+    found = text_pages(texts, ["path"]).withColumnRenamed("pages", "_pages")
+    parts = finish(html.join(found, "path", "left"), F.col("_pages"), F.lit("no text extracted")).drop("_pages")
     pdf = rows.filter(F.col("content_type") == "pdf")
     valid = F.when(is_pdf_content(F.col("content")), F.col("content"))
     reason = F.when(is_pdf_content(F.col("content")), "no text extracted").otherwise("not a PDF")

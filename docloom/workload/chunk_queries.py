@@ -300,7 +300,7 @@ def html_meta(spark, sf):
 
 @add("html_sections")
 def html_sections(spark, sf):
-    rows = html.with_pages(tables.spread(tables.table(spark, sf, "pages")))
+    rows = html.with_pages(tables.table(spark, sf, "pages"), "page_id")
     return rows.select("page_id", "error", F.explode_outer("pages").alias("p")).select(
         "page_id", "error", "p.page_number", F.length("p.text").alias("n_chars"),
         F.sha2("p.text", 256).alias("digest"),
@@ -311,7 +311,7 @@ def html_sections(spark, sf):
 def html_chunks(spark, sf):
     from docloom.functions import identity
 
-    rows = html.with_pages(tables.spread(tables.table(spark, sf, "pages")))
+    rows = html.with_pages(tables.table(spark, sf, "pages"), "page_id")
     title = html.page_title(F.col("html"), F.col("url"))
     docs = rows.filter(F.col("error").isNull()).select(
         identity.document_id(F.col("url"), title).alias("document_id"),

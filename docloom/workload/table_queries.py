@@ -761,7 +761,7 @@ def html_links(spark, sf):
     pages = tables.spread(tables.table(spark, sf, "pages"))
     links = listing.with_anchors(pages, "page_id")
     return links.select(
-        F.col("page_order").alias("page_id"), (F.col("position") % 1_000_000).alias("position"), "href", "text"
+        F.col("page_order").alias("page_id"), (F.col("position") % listing.PAGE_STEP).alias("position"), "href", "text"
     )
 
 

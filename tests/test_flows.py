@@ -34,8 +34,10 @@ LISTING = """<article><h3><a href="/articles/s41467-026-1001-1?x=1">Asthma scree
 
 
 def test_html_pages_follow_headings(spark):
-    rows = html.with_pages(spark.createDataFrame([(ARTICLE,), ("<p>only text</p>",), ("<nav>menu</nav>",)], "html string"))
-    first, second, third = [r for r in rows.collect()]
+    rows = html.with_pages(spark.createDataFrame(
+        [(1, ARTICLE), (2, "<p>only text</p>"), (3, "<nav>menu</nav>"), (4, None), (5, "")], "id int, html string"), "id")
+    first, second, third, null, empty = rows.orderBy("id").collect()
+    assert null.pages == empty.pages == [] and null.error and empty.error
     assert [p.page_number for p in first.pages] == [1, 2, 3]
     assert first.pages[1].text.startswith("Methods\n\nScreening used")
     assert not any("Menu" in p.text or "Share" in p.text for p in first.pages)
@@ -43,14 +45,58 @@ def test_html_pages_follow_headings(spark):
     assert third.pages == [] and third.error
 
 
-def test_broken_markup(spark):
-    page = html.page_texts("<h1>T</h1><p><b>bold<br><p>second<ul><li>a<li>b</ul>")
-    assert page == [{"page_number": 1, "text": "T\n\nbold\n\nsecond\n\na b"}]
-
-
-def test_article_body():
-    out = html.article_body("<main><article><p>x &amp; y</p></article></main>", "T<", "http://a")
-    assert "<p>x &amp; y</p>" in out and "<title>T&lt;</title>" in out and 'href="http://a"' in out
+def test_markup_cases(spark):
+    cases = {
+        "<h1>T</h1><p><b>bold<br><p>second<ul><li>a<li>b</ul>": [(1, "T\n\nbold\n\nsecond\n\na\n\nb")],
+        # text before the first heading, headings inside wrappers, headings without text
+        "before<div><h2>A</h2></div><p>x</p><h3></h3><div><h2>B</h2>y</div>": [(1, "before"), (2, "A\n\nx"), (4, "B\n\ny")],
+        # furniture with the same tag nested inside, and what follows it
+        "<div class='c-share-box'>no<div>no</div>no</div><p>yes<p class=newsletter-box>no<p>yes": [(1, "yes\n\nyes")],
+        "<form><p>no</form></form></p><p>yes</p>": [(1, "yes")],
+        "<!-- <p>no --><script>if (a<b) '</p>'</script><p title='a>b'>1 < 2 &lt; 3 &#x1F600;&#233;&unknown; &#xD800;": [
+            (1, "1 < 2 < 3 \U0001F600\u00e9&unknown; \ufffd")],
+        "<p title=don't>a</p><p>it's</p>": [(1, "a\n\nit's")],
+        "e\u0301": [(1, "\u00e9")],
+    }
+    rows = spark.createDataFrame(list(enumerate(cases)), "id int, html string")
+    got = {r.id: [tuple(p) for p in r.pages] for r in html.with_pages(rows, "id").collect()}
+    assert got == dict(enumerate(cases.values()))
+
+
+def test_very_long_page(spark):
+    long = "<p class=x>word &amp; " * 50_000
+    got = html.with_pages(spark.createDataFrame([(1, "<nav>" + long + "</nav><h1>T</h1>" + long)], "id int, html string"), "id").first()
+    assert [len(p.text) for p in got.pages] == [1 + 50_000 * len("\n\nword &")]
+
+
+def test_article_body(spark):
+    rows = spark.createDataFrame([
+        (1, "<main>a<article class=k><p>x &amp; y</p></article>b</main>", "T<", "http://a"),
+        (2, "<div class='c-article-body'><div>in</div></div><main>out</main>", None, "http://b"),
+        (3, "<p>" + "word &lt; " * 3000, "t", "http://c"), (4, None, "t", None)],
+        "id int, html string, title string, url string")
+    got = [r.article for r in html.article_pages(rows, "id", "title", "url").orderBy("id").collect()]
+    assert '<article data-source="nature-live"><article class=k><p>x &amp; y</p></article></article>' in got[0]
+    assert "<title>T&lt;</title>" in got[0] and 'href="http://a"' in got[0]
+    assert "nature-live\"><div class='c-article-body'><div>in</div></div></article>" in got[1]
+    assert got[2].count("word &lt;") == 3000
+    assert "<p></p>" in got[3]
+
+
+def test_links_of_rows(spark):
+    page = """<article class="publication"><a href="/x">n<b>1</b></a><time>2024</time>
+        <article><time datetime="2020-01-01">old</time><a href='/y'>in</a></article><a href="/z">z</a><time datetime="2021">t</time></article>
+        <div class="views-row"><a href="/other">o</a><h2>The <i>title</i></h2><h2>second</h2><a class="report-link" href="/r">r</a></div><a>none</a><a href=" ">none</a><a href=/u>un"""
+    rows = spark.createDataFrame([(7, page), (8, None)], "id int, html string")
+    got = [tuple(r)[1:] for r in html.anchors(rows, ["id"]).orderBy("position").collect()]
+    assert got == [
+        (0, "/x", "n1", "n 1", "2021", "publication", True, None, "2024"),
+        (1, "/y", "in", "in", "2020-01-01", "publication", False, None, "2024"),
+        (2, "/z", "z", "z", "2021", "publication", False, None, "2024"),
+        (3, "/other", "o", "o", None, "report", False, "Thetitle", None),
+        (4, "/r", "r", "r", None, "report", True, "Thetitle", None),
+        (5, "/u", "un", "un", None, None, None, None, None),
+    ]
 
 
 def test_listing_readers(spark):
@@ -282,7 +328,7 @@ def pipeline(spark):
     catalog = run.catalog.cache()
     bodies = catalog.select("document_id", F.when(F.col("document_title").startswith("Asthma"), F.lit(ARTICLE)).otherwise(
         F.lit(ARTICLE.replace("sthma", "accine").replace("screening", "dosing"))).alias("html"))
-    texts = html.with_pages(bodies).drop("html")
+    texts = html.with_pages(bodies, "document_id").drop("html")
     chunked = chunk.run(catalog, texts, spark.createDataFrame([], schemas.CHUNK),
                         spark.createDataFrame([], schemas.CHECKPOINT), gone, created_at=NOW)
     return run, catalog, texts, chunked
