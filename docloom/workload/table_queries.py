@@ -758,8 +758,7 @@ def index_profile(spark, sf):
         select page_id, unnest(regexp_extract_all(html, '<a href="([^"]+)">([^<]*)</a>', 1)) as href, unnest(regexp_extract_all(html, '<a href="([^"]+)">([^<]*)</a>', 2)) as txt,
             unnest(range(len(regexp_extract_all(html, '<a href="([^"]+)">([^<]*)</a>')))) as i from pages)"""))
 def html_links(spark, sf):
-    pages = tables.spread(tables.table(spark, sf, "pages"))
-    links = listing.with_anchors(pages, "page_id")
+    links = listing.with_anchors(tables.table(spark, sf, "pages"), "page_id")
     return links.select(
         F.col("page_order").alias("page_id"), (F.col("position") % listing.PAGE_STEP).alias("position"), "href", "text"
     )
@@ -773,7 +772,23 @@ def _listing_links(spark, sf, target):
     return links
 
 
-@add("journal_listing")
+# Links of the given pages: number inside the page, address behind its first slash, text.
+_HREFS = r"""
+    tags as (select page_id, regexp_extract_all(html, '<a href="/([^"]*)">([^<]*)</a>', 1) as hs, regexp_extract_all(html, '<a href="/([^"]*)">([^<]*)</a>', 2) as ts from pages),
+    raw as (select page_id, unnest(range(len(hs))) as i, unnest(hs) as h, unnest(ts) as t from tags),
+    hrefs as (select page_id, page_id * 4294967296 + i as position, replace(h, '&amp;', '&') as h, trim(replace(t, '&amp;', '&')) as t from raw)"""
+
+
+def _first_links(org, url, title, date, kind, where="true", order=""):
+    return duck.query(
+        f"""select '{org}' as source_org, url as source_url, arg_min(title, position) as document_title, arg_min(day, position) as publication_date,
+            '{kind}' as content_type, min(position) as position
+        from (select {url} as url, {title} as title, {date} as day, position from hrefs) where {where} group by url {order}""", extra=_HREFS)
+
+
+@add("journal_listing", _first_links(
+    "Nature", f"'{fv.ARTICLE_BASE}/articles/s41586-026-' || page_id || '-7'", "left(trim('Article ' || h || ' ' || t), 280)",
+    "'2026-06-01'", "html", "length(title) >= 8", "order by publication_date desc, position limit 50"))
 def journal_listing(spark, sf):
     links = _listing_links(spark, sf, '<a href="/articles/s41586-026-0001-7?x=$1">Article $1 ')
     numbered = links.withColumn(
@@ -782,13 +797,22 @@ def journal_listing(spark, sf):
     return listing.newest_items(listing.journal_items(numbered), 50)
 
 
-@add("report_listing")
+_REPORT_SCORE = "greatest(0, " + ", ".join(
+    f"case when contains(lower(document_title || ' ' || source_url), '{t}') then {len(fv.ICMR_PRIORITY) - i} else 0 end"
+    for i, t in enumerate(fv.ICMR_PRIORITY)) + """) - case when contains(lower(document_title || ' ' || source_url), '/call/')
+        or contains(lower(document_title || ' ' || source_url), 'eoi') then 2 else 0 end"""
+
+
+@add("report_listing", _first_links(
+    "ICMR", f"'{fv.ICMR_BASE}/reports/2024_' || h || '.pdf'", "left(trim('Guideline ' || h || ' ' || t), 240)",
+    "'2024-06-01'", "pdf", order=f"order by {_REPORT_SCORE} desc, publication_date desc, position limit 20"))
 def report_listing(spark, sf):
     links = _listing_links(spark, sf, '<a href="/reports/2024_$1.pdf">Guideline $1 ')
     return listing.report_items(links)
 
 
-@add("publication_listing")
+@add("publication_listing", _first_links(
+    "DHR", f"'{fv.DHR_BASE}/doc/2023_' || h || '.pdf'", "coalesce(nullif(t, ''), '2023_' || h)", "'2023-06-01'", "pdf"))
 def publication_listing(spark, sf):
     return listing.publication_items(_listing_links(spark, sf, '<a href="/doc/2023_$1.pdf">'))
 
