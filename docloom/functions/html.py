@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import fixed_values as fv
-from docloom.functions.text import normalize_page_text, strip
+from docloom.functions.text import nfc, normalize_page_text, strip
+from docloom.session import let
 
 _RAW_TEXT = r"(?is)<!--.*?(?:-->|\z)|<(script|style)\b.*?</\1\s*>"
 # A quote that does not end before the next "<" is no quote.
@@ -24,6 +25,8 @@ _TAG = r"""<[A-Za-z/!?](?:[^<>"']++|"[^"<]*+"|'[^'<]*+')*+>|<[A-Za-z/!?][^<>]*+>
 _TOKEN = rf"(?:{_TAG})[^<]*+(?:<(?![A-Za-z/!?])[^<]*+)*+"
 _REFERENCE = r"&#?[A-Za-z0-9]++;|[^&]++|&"
 
+# Never part of a text.
+_PAGE_END = "\x1e"
 PAGES = "array<struct<page_number:int,text:string>>"
 
 
@@ -115,7 +118,7 @@ def _inside(kind: Column, key: list[str]) -> Column:
 
 
 def _text() -> Column:
-    return strip(unescape(F.col("raw")))
+    return strip(F.replace(unescape(F.col("raw")), F.lit(_PAGE_END), F.lit("")))
 
 
 def _joined(pieces: Column, separator: str) -> Column:
@@ -134,7 +137,7 @@ def _is_chrome() -> Column:
 
 
 def text_pages(pages: DataFrame, key: list[str], markup: str = "html") -> DataFrame:
-    """key and ``pages`` of normalised text, one page per heading; only rows that have text.
+    """key and ``pages`` of normalised text, one page per heading; no row for a document without text.
 
     A page is what stands from one heading to the next in document order, whatever elements it
     lies in.  Text before the first heading is a page of its own, before the others; without
@@ -156,14 +159,17 @@ def text_pages(pages: DataFrame, key: list[str], markup: str = "html") -> DataFr
     sections = blocks.groupBy(*key, "section").agg(
         _joined(F.collect_list(F.struct("block", "text")), "\n\n").alias("text")
     )
-    sections = sections.withColumn("text", normalize_page_text(F.col("text"))).filter(F.col("text") != "")
-    return sections.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("section", "text"))).alias("s")).select(
-        *key,
-        F.transform("s", lambda p: F.struct(
-            (p["section"] + F.when(F.col("s")[0]["section"] == 0, 1).otherwise(0)).alias("page_number"),
-            p["text"].alias("text"),
-        )).cast(PAGES).alias("pages"),
+    documents = sections.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("section", "text"))).alias("s"))
+    # Composition runs in Python: once a document, behind the last exchange.
+    documents = documents.select(*key, "s.section", nfc(F.array_join("s.text", _PAGE_END)).alias("text"))
+    found = F.filter(
+        F.zip_with("section", F.split("text", _PAGE_END), lambda n, t: F.struct(
+            n.alias("page_number"), normalize_page_text(t, compose=False).alias("text"))),
+        lambda p: p["text"] != "",
     )
+    first = lambda ps: F.when(ps[0]["page_number"] == 0, 1).otherwise(0)
+    return documents.select(*key, let(found, lambda ps: F.transform(ps, lambda p: F.struct(
+        (p["page_number"] + first(ps)).alias("page_number"), p["text"].alias("text")))).cast(PAGES).alias("pages"))
 
 
 def with_pages(rows: DataFrame, key: str, markup: str = "html") -> DataFrame:
