@@ -58,16 +58,8 @@ def date_has_documents(catalog: DataFrame, target_date, source_org=None) -> Data
 
 def rank_newest_first(catalog: DataFrame) -> DataFrame:
     """``chronological_rank`` 1..n by publication date, then ingestion time, newest first."""
-    levels = [
-        (F.col("publication_date"), True),
-        (F.substring("ingested_at", 1, 13), True),
-        (F.col("ingested_at"), True),
-        # Ids are digests, so their first digits cut even a one-instant bulk load evenly.
-        (F.substring("document_id", 1, 10), False),
-    ]
-    return global_rank(
-        catalog.drop("chronological_rank"), levels, "document_id", "chronological_rank"
-    )
+    order = [F.col("publication_date").desc(), F.col("ingested_at").desc(), F.col("document_id").asc()]
+    return global_rank(catalog.drop("chronological_rank"), order, "chronological_rank")
 
 
 def newest(catalog: DataFrame, n: int) -> DataFrame:

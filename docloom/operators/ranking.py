@@ -5,49 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.session import materialize
 
-def _null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Inner join in which a NULL key meets a NULL key."""
-    renamed = right.withColumnsRenamed({k: f"{k}_r" for k in keys})
-    on = [left[k].eqNullSafe(renamed[f"{k}_r"]) for k in keys]
-    return left.join(renamed, on).drop(*(f"{k}_r" for k in keys))
+# monotonically_increasing_id: the partition above this bit, the row inside it below.
+_ROW_BITS = 33
 
 
-def global_rank(
-    df: DataFrame, levels: list[tuple[Column, bool]], last: str, name: str = "rank"
-) -> DataFrame:
-    """Number rows 1..n by ``levels`` (expression, descending?) and then ``last`` ascending.
+def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
+    """Number rows 1..n in ``order``, whose last column should be unique.
 
-    Each level refines the one before it, from coarse to fine.  Group sizes are counted
-    once at the finest level and rolled up; the running totals of a level only run inside
-    its parent group.  Rows themselves are numbered inside the finest groups, so choose a
-    finest level that splits any group that can grow large.  NULLs of a level are a group of
-    their own, first in ascending and last in descending order.
+    One exchange: the rows are range partitioned and sorted by all of ``order``, so a value that
+    many rows share is split by the columns behind it, and written with their place.  A table with
+    one row a partition then holds how many rows stand before each; it is as small as the number of
+    shuffle partitions, whatever the rows.  NULLs come first in ascending and last in descending
+    order; rows equal in all of ``order`` get consecutive numbers.
     """
-    keys = [f"_k{i}" for i in range(len(levels))]
-    keyed = df
-    for key, (expression, _) in zip(keys, levels):
-        keyed = keyed.withColumn(key, expression)
-    sizes = keyed.groupBy(*keys).agg(F.count("*").alias("_size"))
-    offsets = sizes.withColumn("_before", F.lit(0).cast("bigint"))
-    for depth, (_, descending) in enumerate(levels):
-        group = keys[: depth + 1]
-        order = F.col(keys[depth]).desc() if descending else F.col(keys[depth])
-        window = Window.partitionBy(*keys[:depth]) if depth else Window
-        running = window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-        level = (
-            sizes.groupBy(*group)
-            .agg(F.sum("_size").alias("_s"))
-            .select(*group, F.coalesce(F.sum("_s").over(running), F.lit(0)).alias("_level"))
-        )
-        offsets = (
-            _null_safe(offsets, level, group)
-            .withColumn("_before", F.col("_before") + F.col("_level"))
-            .drop("_level")
-        )
-    inside = Window.partitionBy(*keys).orderBy(last)
+    placed = materialize(df.orderBy(*order).withColumn("_place", F.monotonically_increasing_id()))
+    part = F.shiftright("_place", _ROW_BITS).alias("_part")
+    sizes = placed.groupBy(part).agg(F.count("*").alias("_size"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
+    inside = F.col("_place").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
     return (
-        _null_safe(keyed, offsets.drop("_size"), keys)
-        .withColumn(name, (F.col("_before") + F.row_number().over(inside)).cast("bigint"))
-        .drop("_before", *keys)
+        placed.withColumn("_part", part)
+        .join(F.broadcast(starts), "_part")
+        .select(*df.columns, (F.col("_before") + inside + 1).cast("bigint").alias(name))
     )

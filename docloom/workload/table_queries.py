@@ -84,8 +84,8 @@ def chronological_rank(spark, sf):
 def order_rank(spark, sf):
     """The same ranking over a table of another shape: orders by day, then key."""
     rows = tables.table(spark, sf, "orders").select("o_orderkey", "o_orderdate")
-    levels = [(F.col("o_orderdate"), True), (F.floor(F.col("o_orderkey") / 4096), False)]
-    return ranking.global_rank(rows, levels, "o_orderkey", "order_rank").select("o_orderkey", "order_rank")
+    order = [F.col("o_orderdate").desc(), F.col("o_orderkey").asc()]
+    return ranking.global_rank(rows, order, "order_rank").select("o_orderkey", "order_rank")
 
 
 @add("newest_documents", duck.query(

@@ -234,10 +234,21 @@ def test_matching_date_breaks_a_tie(spark):
 def test_global_rank_with_one_hot_group(spark):
     rows = [("2026-06-01" if i % 3 else "2026-05-01", f"{i * 7919 % 500:04d}") for i in range(500)]
     frame = spark.createDataFrame(rows, "day string, id string").repartition(7)
-    levels = [(F.col("day"), True), (F.substring("id", 1, 2), False)]
-    got = {(r.day, r.id): r.rank for r in ranking.global_rank(frame, levels, "id").collect()}
+    ranked = ranking.global_rank(frame, [F.col("day").desc(), F.col("id").asc()])
+    got = {(r.day, r.id): r.rank for r in ranked.collect()}
     want = sorted(rows, key=lambda r: ([-ord(c) for c in r[0]], r[1]))
     assert got == {r: i for i, r in enumerate(want, start=1)}
+    # The rows are read as written: only the table of partitions is exchanged or windowed.
+    plan = ranked._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 1 and "SortMergeJoin" not in plan and plan.count("Window [") == 1
+
+
+def test_global_rank_of_nulls_ties_and_nothing(spark):
+    rows = [(None, "b"), ("2026", "a"), (None, "a"), ("2025", None), ("2025", "c"), ("2025", "c")]
+    frame = spark.createDataFrame(rows, "day string, id string").repartition(3)
+    got = [(r.day, r.id) for r in ranking.global_rank(frame, [F.col("day").desc(), F.col("id").asc()], "n").orderBy("n").collect()]
+    assert got == [("2026", "a"), ("2025", None), ("2025", "c"), ("2025", "c"), (None, "a"), (None, "b")]
+    assert ranking.global_rank(frame.limit(0), [F.col("day").asc()], "n").collect() == []
 
 
 def test_defaults():
