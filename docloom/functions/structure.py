@@ -14,7 +14,7 @@ from docloom.functions import fixed_values as fv
 from docloom.functions.text import count_tokens, decode, split_sentences, strip, tokens
 from docloom.session import let
 
-
+_SUM_BLOCK = 64
 _VOCABULARY = f"^(?:{'|'.join(fv.SECTION_VOCABULARY)})$"
 
 
@@ -49,6 +49,36 @@ def _heading_title(line: Column) -> Column:
     )
 
 
+def running_totals(counts: Column) -> Column:
+    """For every number the sum of those before it, in time that grows with their count.
+
+    Sums run inside blocks of 64, blocks of blocks and so on, so no sum reads more than 64
+    numbers a level (the uppermost: one for every 262,144).  Totals are integers; an empty array has none.
+    """
+    width = F.lit(_SUM_BLOCK)
+    total = lambda numbers: F.aggregate(numbers, F.lit(0), lambda a, b: a + b)
+
+    def sums(numbers: Column) -> Column:
+        blocks = F.ceil(F.size(numbers) / width).cast("int")
+        return F.when(F.size(numbers) == 0, F.array().cast("array<int>")).otherwise(F.transform(
+            F.sequence(F.lit(0), blocks - 1), lambda b: total(F.slice(numbers, b * width + 1, width))))
+
+    def before(numbers: Column, i: Column) -> Column:
+        inside = F.pmod(i, width)
+        return total(F.slice(numbers, i - inside + 1, inside))
+
+    def build(levels: Column) -> Column:
+        return F.transform(levels["n0"], lambda n, i: (
+            before(levels["n0"], i)
+            + before(levels["n1"], F.floor(i / width).cast("int"))
+            + before(levels["n2"], F.floor(i / F.lit(_SUM_BLOCK**2)).cast("int"))
+            + total(F.slice(levels["n3"], 1, F.floor(i / F.lit(_SUM_BLOCK**3)).cast("int")))
+        ))
+
+    return let(counts, lambda n0: let(sums(n0), lambda n1: let(sums(n1), lambda n2: let(
+        F.struct(n0.alias("n0"), n1.alias("n1"), n2.alias("n2"), sums(n2).alias("n3")), build))))
+
+
 _SECTION = "struct<title:string,text:string,start_char:int,end_char:int>"
 
 
@@ -69,34 +99,17 @@ def page_sections(text: Column) -> Column:
         return let(lines, lambda ls: cut(page, ls))
 
     def cut(page: Column, lines: Column) -> Column:
-        # One pass records where each section starts: its line index and char offset.
-        zero = F.struct(
-            F.lit(0).alias("i"),
-            F.lit(0).alias("pos"),
-            F.lit(False).alias("open"),
-            F.array().cast("array<struct<i:int,pos:int,head:boolean>>").alias("starts"),
+        # Headings start sections; before the first of them the first line with text does.
+        places = F.sequence(F.lit(0), F.size(lines) - 1)
+        marked = lambda i: F.get(lines, i)["head"] | (F.get(lines, i)["s"] != "")
+        first = F.get(F.slice(F.filter(places, marked), 1, 1), F.lit(0))
+        starts = let(
+            F.struct(running_totals(F.transform(lines, lambda x: x["n"] + 1)).alias("pos"), first.alias("first")),
+            lambda c: F.transform(
+                F.filter(places, lambda i: F.get(lines, i)["head"] | (i == c["first"])),
+                lambda i: F.struct(i.alias("i"), F.get(c["pos"], i).alias("pos"), F.get(lines, i)["head"].alias("head")),
+            ),
         )
-
-        def step(acc: Column, line: Column) -> Column:
-            begins = line["head"] | (~acc["open"] & (line["s"] != ""))
-            return F.struct(
-                (acc["i"] + 1).alias("i"),
-                (acc["pos"] + line["n"] + 1).alias("pos"),
-                (acc["open"] | begins).alias("open"),
-                F.when(
-                    begins,
-                    F.array_append(
-                        acc["starts"],
-                        F.struct(
-                            acc["i"].alias("i"), acc["pos"].alias("pos"), line["head"].alias("head")
-                        ),
-                    ),
-                )
-                .otherwise(acc["starts"])
-                .alias("starts"),
-            )
-
-        starts = F.aggregate(lines, zero, step, lambda acc: acc["starts"])
         return let(starts, lambda st: spans(page, lines, st))
 
     def spans(page: Column, lines: Column, starts: Column) -> Column:
@@ -291,11 +304,11 @@ def with_overlap(pieces: Column, n: int = DEFAULT.overlap_tokens) -> Column:
     def build(stream: Column) -> Column:
         counts = F.transform(stream, lambda toks: F.size(toks))
         return let(
-            F.struct(F.flatten(stream).alias("all"), counts.alias("n")),
+            F.struct(F.flatten(stream).alias("all"), counts.alias("n"), running_totals(counts).alias("before")),
             lambda s: F.transform(
                 pieces,
                 lambda p, i: let(
-                    F.aggregate(F.slice(s["n"], 1, i), F.lit(0), lambda a, b: a + b),
+                    F.get(s["before"], i),
                     lambda before: let(
                         F.least(before, F.lit(n)),
                         lambda tail: F.struct(

@@ -1,3 +1,4 @@
+import itertools
 import re
 
 import pytest
@@ -126,3 +127,10 @@ def test_token_windows_rebuild_the_text(value):
 def test_batches(value):
     lengths = F.array(*[F.lit(n) for n in (10, 10, 10, 200, 10, 50, 50, 10)])
     assert value(structure.batch_starts(lengths, 2, 100)) == [0, 2, 3, 4, 6]
+
+
+def test_running_totals(spark):
+    rows = [(n, [(i * 37) % 11 for i in range(n)]) for n in (0, 1, 63, 64, 65, 4096, 4097, 300_000)]
+    frame = spark.createDataFrame(rows, "n int, counts array<int>")
+    for r in frame.select("counts", structure.running_totals(F.col("counts")).alias("before")).collect():
+        assert r.before == list(itertools.accumulate(r.counts, initial=0))[:-1]
