@@ -286,6 +286,7 @@ def embed_batches(spark, sf):
 @add("html_meta", duck.query(
     f"""select page_id, left(case when t <> '' then {duck.strip('t')} else url end, 280) as title,
         coalesce(nullif(regexp_extract(html, 'publicationDate=(\\d{{4}}-\\d{{2}}-\\d{{2}})', 1), ''),
+          nullif(regexp_extract(html, '(?is)Published[^<]*<time datetime=["''](\\d{{4}}-\\d{{2}}-\\d{{2}})', 1), ''),
           nullif(regexp_extract(html, '<time datetime="(\\d{{4}}-\\d{{2}}-\\d{{2}})"', 1), ''), '1970-01-01') as publication_date,
         regexp_extract(html, 'rel="canonical"\\s+href="([^"]+)"', 1) as canonical
        from (select *, regexp_extract(html, '(?i)<title>([^<]+)</title>', 1) as t from pages)"""))
