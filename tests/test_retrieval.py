@@ -253,3 +253,21 @@ def test_global_rank_of_nulls_ties_and_nothing(spark):
 
 def test_defaults():
     assert DEFAULT.fetch_k == 16 and DEFAULT.with_(top_k=3).fetch_k == 12
+
+
+def test_cells_give_the_same_ranking(spark, corpus, texts, monkeypatch):
+    """Cells of few rows and questions, bounds in use, equal questions: no row per question and match is shuffled."""
+    from docloom.operators import term_cells
+
+    for name, size in (("CELL_ROWS", 7), ("CELL_QUESTIONS", 2), ("FIRST_TERMS", 90), ("SCORED_TERMS", 200)):
+        monkeypatch.setattr(term_cells, name, size)
+    asked = QUESTIONS + [" ".join(WORDS), "patients lung lung", QUESTIONS[0]]
+    found = lexical.search_many(corpus, spark.createDataFrame(list(enumerate(asked)), "qid int, question string"), 3)
+    rows = found.orderBy("qid", "rank").collect()
+    for i, q in enumerate(asked):
+        got = [(r.chunk_id, r.score, r["rank"]) for r in rows if r.qid == i]
+        want = brute_bm25(texts, q, 3)
+        assert [g[0] for g in got] == [w[0] for w in want] and [g[2] for g in got] == list(range(1, len(want) + 1))
+        assert [g[1] for g in got] == pytest.approx([w[1] for w in want])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan
