@@ -271,3 +271,19 @@ def test_cells_give_the_same_ranking(spark, corpus, texts, monkeypatch):
         assert [g[1] for g in got] == pytest.approx([w[1] for w in want])
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan
+
+
+def test_titles_are_resolved_in_cells(spark, monkeypatch):
+    from docloom.operators import term_cells
+
+    for name, size in (("CELL_ROWS", 3), ("CELL_QUESTIONS", 2), ("FIRST_TERMS", 8), ("SCORED_TERMS", 8)):
+        monkeypatch.setattr(term_cells, name, size)
+    titles = [(f"d{i:02d}", "2026-06-01" if i % 2 else "screening", f"asthma word{chr(97 + i)} outcome") for i in range(12)]
+    catalog = spark.createDataFrame([*titles, ("d99", None, None)], "document_id string, publication_date string, document_title string")
+    asked = [(1, "outcome of wordc asthma screening"), (2, "asthma outcome"), (3, "asthma outcome wordd Published: 01 June 2026"),
+             (4, None), (5, "outcome of wordc asthma screening"), (6, "of")]
+    found = resolve.resolve_documents(spark.createDataFrame(asked, "qid int, question string"), catalog)
+    assert {r.qid: (r.document_id, r.score) for r in found.collect()} == {
+        1: ("d02", 1.0), 2: (None, None), 3: ("d03", 1.0), 4: (None, None), 5: ("d02", 1.0), 6: (None, None)}
+    # Pairs of a question and a title only exist inside tasks.
+    assert "MapInArrow" in found._jdf.queryExecution().optimizedPlan().toString()
