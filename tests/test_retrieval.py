@@ -287,3 +287,23 @@ def test_titles_are_resolved_in_cells(spark, monkeypatch):
         1: ("d02", 1.0), 2: (None, None), 3: ("d03", 1.0), 4: (None, None), 5: ("d02", 1.0), 6: (None, None)}
     # Pairs of a question and a title only exist inside tasks.
     assert "MapInArrow" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_scoped_neighbours_in_cells(spark, monkeypatch):
+    """A scope larger than a cell is split, and equals brute force; a scope without questions is not read."""
+    monkeypatch.setattr(vector, "CELL_ROWS", 70)
+    monkeypatch.setattr(vector, "CELL_QUERIES", 2)
+    rng = random.Random(5)
+    rows = [(f"c{i:03d}", f"s{min(i % 7, 2)}", [rng.uniform(-1, 1) for _ in range(6)]) for i in range(90)]
+    table = spark.createDataFrame(rows, "chunk_id string, document_id string, embedding array<double>")
+    asked = [(i, f"s{i % 3 if i % 3 < 2 else 9}", [rng.uniform(-1, 1) for _ in range(6)]) for i in range(12)]
+    found = vector.nearest_in_scope(table, spark.createDataFrame(asked, "qid int, document_id string, embedding array<double>"), "document_id", 4)
+    got = found.orderBy("qid", "rank").collect()
+
+    def distance(a, b):
+        return round(1 - sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b)), 9)
+
+    for qid, scope, v in asked:
+        want = sorted((distance(v, e), c) for c, s, e in rows if s == scope)[:4]
+        assert [(r.chunk_id, r["rank"]) for r in got if r.qid == qid] == [(c, i + 1) for i, (_, c) in enumerate(want)]
+    assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().optimizedPlan().toString()
