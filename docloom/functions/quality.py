@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docloom.functions import fixed_values as fv
-from docloom.functions.text import BOILERPLATE, sanitize, strip, text_array
+from docloom.functions.text import BOILERPLATE, sanitize, strip, text_array, trimmed
 from docloom.session import let
 
 
@@ -36,7 +36,9 @@ def reject_if_pii(text: Column) -> Column:
 
 
 def is_placeholder(text: Column) -> Column:
-    return F.coalesce(text, F.lit("")).rlike(f"(?iU)(?:{fv.PLACEHOLDER_PATTERN})")
+    # Both phrases begin with one of two letters; other places are passed at once.
+    begins = "".join(sorted({phrase[0] for phrase in fv.PLACEHOLDER_PATTERN.split("|")}))
+    return F.coalesce(text, F.lit("")).rlike(f"(?iU)(?=[{begins}])(?:{fv.PLACEHOLDER_PATTERN})")
 
 
 def _noise(text: Column, short_is_noise: bool) -> Column:
@@ -52,7 +54,7 @@ def _noise(text: Column, short_is_noise: bool) -> Column:
         # Only text that shows page furniture is cleaned to see how much prose is left.
         return (t == "") | (furniture & shrunk(t, F.length(sanitize(t))))
 
-    return let(strip(F.coalesce(text, F.lit(""))), test)
+    return let(trimmed(F.coalesce(text, F.lit(""))), test)
 
 
 def is_explicit_noise(text: Column) -> Column:

@@ -11,34 +11,39 @@ from pyspark.sql import functions as F
 
 from docloom.config import DEFAULT
 from docloom.functions import fixed_values as fv
-from docloom.functions.text import count_tokens, decode, split_sentences, strip, tokens
+from docloom.functions.text import count_tokens, decode, split_sentences, strip, tokens, trimmed
 from docloom.session import let
 
 _SUM_BLOCK = 64
 _VOCABULARY = f"^(?:{'|'.join(fv.SECTION_VOCABULARY)})$"
+# A name and a line end, or a letter more where lower case is longer.
+_LONGEST_NAME = 2 * max(len(name) for name in fv.SECTION_VOCABULARY)
+# Anchored before the alternatives: a line is tried at its start only.
+_MARKED = f"(?U)^(?:{fv.MARKDOWN_HEADING.removeprefix('^')}|{fv.NUMBERED_HEADING.removeprefix('^')})"
 
 
 def is_heading(line: Column) -> Column:
     """Markdown, numbered, known section name, or a line of capitals."""
+    return let(strip(line), _heads)
+
+
+def _heads(line: Column) -> Column:
+    """``is_heading`` of a line that is already stripped; long lines pass the short tests unread."""
 
     def all_caps(bare: Column) -> Column:
         letters = F.regexp_count(bare, F.lit(r"\p{L}"))
         capitals = F.regexp_count(bare, F.lit(r"\p{Lu}"))
         return (
-            F.upper(bare).rlike(fv.ALL_CAPS_HEADING)
-            & (F.length(bare) <= 80)
+            (F.length(bare) <= 80)
+            & F.upper(bare).rlike(fv.ALL_CAPS_HEADING)
             & (letters >= 4)
             & (capitals / letters >= 0.85)
         )
 
-    return let(
-        F.regexp_replace(strip(line), ":+$", ""),
-        lambda bare: (strip(line) != "")
-        & (
-            strip(line).rlike(f"(?U)(?:{fv.MARKDOWN_HEADING}|{fv.NUMBERED_HEADING})")
-            | F.lower(bare).rlike(_VOCABULARY)
-            | all_caps(bare)
-        ),
+    bare = F.when(line.endswith(":"), F.regexp_replace(line, ":+$", "")).otherwise(line)
+    return (line != "") & (
+        line.rlike(_MARKED)
+        | let(bare, lambda b: ((F.length(b) <= _LONGEST_NAME) & F.lower(b).rlike(_VOCABULARY)) | all_caps(b))
     )
 
 
@@ -90,9 +95,9 @@ def page_sections(text: Column) -> Column:
         lines = F.transform(
             raw_lines,
             lambda raw: let(
-                strip(raw),
+                trimmed(raw),
                 lambda s: F.struct(
-                    s.alias("s"), F.length(raw).alias("n"), is_heading(s).alias("head")
+                    s.alias("s"), F.length(raw).alias("n"), _heads(s).alias("head")
                 ),
             ),
         )
@@ -118,7 +123,7 @@ def page_sections(text: Column) -> Column:
             stop = F.coalesce(following["i"], F.size(lines))
             end_char = F.least(F.coalesce(following["pos"] - 1, F.length(page)), F.length(page))
             first = start["i"] + F.when(start["head"], 1).otherwise(0)
-            body = strip(
+            body = trimmed(
                 F.array_join(
                     F.transform(F.slice(lines, first + 1, stop - first), lambda x: x["s"]), "\n"
                 )
@@ -134,11 +139,11 @@ def page_sections(text: Column) -> Column:
                 ).cast(_SECTION),
             )
 
-        kept = F.filter(F.transform(starts, one), lambda s: strip(s["text"]) != "")
+        kept = F.filter(F.transform(starts, one), lambda s: trimmed(s["text"]) != "")
         whole = F.array(
             F.struct(
                 F.lit(None).cast("string").alias("title"),
-                strip(page).alias("text"),
+                trimmed(page).alias("text"),
                 F.lit(0).alias("start_char"),
                 F.length(page).alias("end_char"),
             ).cast(_SECTION)
@@ -148,7 +153,7 @@ def page_sections(text: Column) -> Column:
     empty = F.array().cast(f"array<{_SECTION}>")
     return let(
         F.coalesce(text, F.lit("")),
-        lambda page: F.when(strip(page) == "", empty).otherwise(build(page)),
+        lambda page: F.when(trimmed(page) == "", empty).otherwise(build(page)),
     )
 
 
@@ -156,7 +161,7 @@ def merge_short_sections(sections: Column, min_chars: int = DEFAULT.min_section_
     """Fold each section shorter than ``min_chars`` into the one before it on the page."""
 
     def is_short(section: Column, i: Column) -> Column:
-        return (i > 0) & (F.length(strip(section["text"])) < min_chars)
+        return (i > 0) & (F.length(trimmed(section["text"])) < min_chars)
 
     def merge(secs: Column) -> Column:
         keyed = F.transform(
@@ -178,7 +183,7 @@ def merge_short_sections(sections: Column, min_chars: int = DEFAULT.min_section_
                 )
                 return F.struct(
                     first["title"].alias("title"),
-                    strip(F.array_join(parts, "\n\n")).alias("text"),
+                    trimmed(F.array_join(parts, "\n\n")).alias("text"),
                     first["start_char"].alias("start_char"),
                     F.array_max(F.transform(members, lambda m: m["end_char"])).alias("end_char"),
                 ).cast(_SECTION)
@@ -258,8 +263,10 @@ def token_windows(text: Column, size: int, first_size: int | None = None) -> Col
     return let(tokens(text), build)
 
 
-def cap_text(text: Column, limit: int = DEFAULT.max_tokens, first_limit: int | None = None) -> Column:
-    """Pieces of at most ``limit`` tokens, cut at sentences where possible."""
+def cap_text(
+    text: Column, limit: int = DEFAULT.max_tokens, first_limit: int | None = None, count: Column | None = None
+) -> Column:
+    """Pieces of at most ``limit`` tokens, cut at sentences where possible; ``count``: its tokens, if known."""
     head = limit if first_limit is None else first_limit
 
     def split_long(t: Column) -> Column:
@@ -276,10 +283,10 @@ def cap_text(text: Column, limit: int = DEFAULT.max_tokens, first_limit: int | N
         )
 
     return let(
-        strip(text),
+        trimmed(text),
         lambda t: F.when(t == "", F.array().cast("array<string>"))
-        .when(count_tokens(t) <= head, F.array(t))
-        .otherwise(F.filter(split_long(t), lambda p: strip(p) != "")),
+        .when((count_tokens(t) if count is None else count) <= head, F.array(t))
+        .otherwise(F.filter(split_long(t), lambda p: trimmed(p) != "")),
     )
 
 
@@ -312,10 +319,9 @@ def with_overlap(pieces: Column, n: int = DEFAULT.overlap_tokens) -> Column:
                     lambda before: let(
                         F.least(before, F.lit(n)),
                         lambda tail: F.struct(
-                            strip(
-                                decode(
-                                    F.slice(s["all"], before - tail + 1, tail + F.get(s["n"], i))
-                                )
+                            # Only the tail is put together again from tokens.
+                            F.when(tail == 0, trimmed(p["text"])).otherwise(
+                                trimmed(F.concat(decode(F.slice(s["all"], before - tail + 1, tail)), F.lit("\n"), trimmed(p["text"])))
                             ).alias("text"),
                             (tail + F.get(s["n"], i)).alias("token_count"),
                         ),
@@ -325,7 +331,7 @@ def with_overlap(pieces: Column, n: int = DEFAULT.overlap_tokens) -> Column:
         )
 
     stream = F.transform(
-        pieces, lambda p, i: tokens(F.when(i > 0, F.concat(F.lit("\n"), strip(p["text"])))
+        pieces, lambda p, i: tokens(F.when(i > 0, F.concat(F.lit("\n"), trimmed(p["text"])))
                                     .otherwise(p["text"]))
     )
     return let(stream, build)

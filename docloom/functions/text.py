@@ -23,6 +23,21 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(fv.WHITESPACE))
 
 
+def trimmed(text: Column) -> Column:
+    """``strip`` for long text: Spark's trim reads a whole string, and most begin and end in printable ASCII.
+
+    Strings compare by bytes, so two comparisons tell the kind of the first byte; the last byte
+    is one of the binary form.
+    """
+
+    def cut(t: Column) -> Column:
+        last = F.substring(t.cast("binary"), -1, 1)
+        printable = (t >= "!") & (t < "\x7f") & (last > F.lit(b" ")) & (last < F.lit(b"\x7f"))
+        return F.when(printable, t).otherwise(strip(t))
+
+    return let(text, cut)
+
+
 def collapse_space(text: Column) -> Column:
     return strip(F.regexp_replace(text, SPACE + "+", " "))
 
@@ -119,12 +134,20 @@ SENTENCE_BREAK = (
     rf"(?<=[.!?])(?<!(?<![\p{{L}}\p{{N}}_])(?:{_GUARD})\.){SPACE}+(?=[^\s\p{{Z}}])"
 )
 
+_BREAK = "\x02"
+
 
 def split_sentences(text: Column) -> Column:
     """Sentences in order; a blank line always ends one, an abbreviation never does."""
-    paragraphs = F.split(strip(text), rf"\n{SPACE}*\n")
-    parts = F.flatten(F.transform(paragraphs, lambda p: F.split(strip(p), SENTENCE_BREAK)))
-    return F.filter(F.transform(parts, strip), lambda s: s != "")
+    paragraphs = F.split(trimmed(text), rf"\n{SPACE}*\n")
+    parts = F.flatten(F.transform(paragraphs, lambda p: let(trimmed(p), _parted)))
+    return F.filter(F.transform(parts, trimmed), lambda s: s != "")
+
+
+def _parted(paragraph: Column) -> Column:
+    """Split at sentence breaks by way of a mark: Spark compiles a pattern to split by for every value."""
+    marked = F.split(F.regexp_replace(paragraph, SENTENCE_BREAK, _BREAK), _BREAK)
+    return F.when(F.contains(paragraph, F.lit(_BREAK)), F.split(paragraph, SENTENCE_BREAK)).otherwise(marked)
 
 
 # --- boilerplate ----------------------------------------------------------------------
@@ -134,14 +157,18 @@ DROP_LINE = (
     + "|".join(fv.SKIP_LINE_STARTS)
     + ")"
 )
-BOILERPLATE = rf"(?i)(?:{fv.UI_BOILERPLATE_PATTERN})"
+# Every phrase begins with one of a few pairs of letters; other places are passed at once.
+_BEGINNINGS = {phrase[:2] for phrase in fv.UI_BOILERPLATE_PATTERN.split("|")}
+BOILERPLATE = "(?i)(?=[{}][{}])(?:{})".format(
+    *("".join(sorted({b[i] for b in _BEGINNINGS})) for i in (0, 1)), fv.UI_BOILERPLATE_PATTERN
+)
 
 
 def sanitize(text: Column) -> Column:
     """Page text without share, citation and sidebar lines; prose kept in order."""
 
     def clean(raw: Column) -> Column:
-        lines = F.transform(F.split(raw, r"\n+"), strip)
+        lines = F.transform(F.split(raw, r"\n+"), trimmed)
         kept = F.filter(
             lines,
             lambda ln: (ln != "")
@@ -151,12 +178,12 @@ def sanitize(text: Column) -> Column:
         inline = raw
         for pattern in fv.INLINE_NOISE:
             inline = F.regexp_replace(inline, f"(?i){pattern}", "")
-        inline = strip(F.regexp_replace(inline, SPACE + "{2,}", " "))
+        inline = trimmed(F.regexp_replace(inline, SPACE + "{2,}", " "))
         return let(
-            strip(F.array_join(kept, "\n\n")), lambda out: F.when(out != "", out).otherwise(inline)
+            trimmed(F.array_join(kept, "\n\n")), lambda out: F.when(out != "", out).otherwise(inline)
         )
 
-    return let(strip(F.replace(F.coalesce(text, F.lit("")), F.lit("\r\n"), F.lit("\n"))), clean)
+    return let(trimmed(F.replace(F.coalesce(text, F.lit("")), F.lit("\r\n"), F.lit("\n"))), clean)
 
 
 def truncate_topic(title: Column, max_len: int) -> Column:

@@ -72,8 +72,8 @@ def with_drafts(docs: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
 
     def pieces_of(unit, i):
         texts = F.when(
-            i == 0, structure.cap_text(unit["text"], room, cfg.max_tokens)
-        ).otherwise(structure.cap_text(unit["text"], room))
+            i == 0, structure.cap_text(unit["text"], room, cfg.max_tokens, unit["token_count"])
+        ).otherwise(structure.cap_text(unit["text"], room, count=unit["token_count"]))
         return F.transform(
             texts,
             lambda t: F.struct(

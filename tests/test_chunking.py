@@ -134,3 +134,21 @@ def test_running_totals(spark):
     frame = spark.createDataFrame(rows, "n int, counts array<int>")
     for r in frame.select("counts", structure.running_totals(F.col("counts")).alias("before")).collect():
         assert r.before == list(itertools.accumulate(r.counts, initial=0))[:-1]
+
+
+def test_trimmed_equals_strip_and_breaks_survive_the_mark(spark, value):
+    """Long text is not read to be trimmed, sentences are split by a mark: both as before on odd characters."""
+    ends = ["", "!", "~", "\x7f", "\x00", "\x1b", "\u00e9", "\u200b", "\U0001f600", *text.fv.WHITESPACE]
+    rows = [(a + body + b,) for a in ends for b in ends for body in ("x y", "")] + [(None,)]
+    got = spark.createDataFrame(rows, "t string").select(text.trimmed(F.col("t")).alias("a"), text.strip(F.col("t")).alias("b"))
+    assert got.filter(~F.col("a").eqNullSafe(F.col("b"))).count() == 0
+    plain = "One ends. Two, Fig. 3 stays! Three\u2003four?  Five."
+    assert value(text.split_sentences(F.lit(plain))) == ["One ends.", "Two, Fig. 3 stays!", "Three\u2003four?", "Five."]
+    assert value(text.split_sentences(F.lit("A\x02b. Cd\x02. E"))) == ["A\x02b.", "Cd\x02.", "E"]
+
+
+def test_headings_are_tried_at_the_start_of_a_line_only(spark, value):
+    assert structure._MARKED.startswith("(?U)^") and "|^" not in structure._MARKED
+    for line, head in (("x # no", False), ("# yes", True), ("see 2.1 Findings", False), ("2.1 Findings:", True),
+                       ("RESULTS::", True), ("Methods", True), ("M" * 81, False), ("ONE TWO " * 9, True), ("ONE TWO " * 11, False)):
+        assert value(structure.is_heading(F.lit(line))) is head, line
