@@ -188,3 +188,17 @@ def test_markdown(value):
     assert value(render.normalized_markdown(F.lit(raw))).split("\n") == [
         "**Results:**", "**Summary:** ok", "- one", "- two", "**Key Points:**", "**Limits:**", "**Bold:** x",
     ]
+
+
+def test_personal_data_tests_agree_with_the_plain_patterns(spark):
+    """Cheap tests in front of a pattern lose none of its matches, in any script or case."""
+    from docloom.functions import fixed_values as fv, quality
+
+    pieces = ["1234 5678-9012", "\u0661\u0662\u0663\u0664 \u0665\u0666\u0667\u0668 1234", "abcde1234f", "ABCDE123F", "+91 9876543210", "9876543210x", "x6876543210",
+              "a.b@c.org", "Pa\u017fsword: x", "API-KEY = y", "secret_key:z", "passwd :", "\u017fecret-\u212aey=1", "+91", "1234", "plain words"]
+    rows = [(a + joint + b,) for a in pieces for b in pieces for joint in (" ", "", "\n")] + [(None,), ("",)]
+    plain = F.array_compact(F.array(*[
+        F.when(F.col("t").rlike(("(?iU)" if fold else "(?U)") + pattern), F.lit(label)) for label, pattern, fold in fv.PII_PATTERNS]))
+    got = spark.createDataFrame(rows, "t string").select("t", quality.pii_violations(F.col("t")).alias("a"), plain.alias("b"))
+    assert got.filter(~F.col("a").eqNullSafe(F.col("b"))).collect() == []
+    assert quality._NUMBERS and got.filter(F.size("a") > 0).count() > 100
