@@ -25,6 +25,9 @@ _TAG = r"""<[A-Za-z/!?](?:[^<>"']++|"[^"<]*+"|'[^'<]*+')*+>|<[A-Za-z/!?][^<>]*+>
 _TOKEN = rf"(?:{_TAG})[^<]*+(?:<(?![A-Za-z/!?])[^<]*+)*+"
 _REFERENCE = r"&#?[A-Za-z0-9]++;|[^&]++|&"
 
+# Pages whose tokens a task sorts and whose texts it composes: its memory does not grow with the table.
+TASK_PAGES = 500
+
 # Never part of a text.
 _PAGE_END = "\x1e"
 PAGES = "array<struct<page_number:int,text:string>>"
@@ -64,6 +67,11 @@ def _has_class(*names: str) -> Column:
     return F.arrays_overlap(_classes(), F.array(*[F.lit(n) for n in names]))
 
 
+def _tasks(pages: DataFrame) -> int:
+    """Partitions of ``TASK_PAGES`` rows; no fewer than Spark would make."""
+    return max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-pages.count() // TASK_PAGES))
+
+
 def elements(pages: DataFrame, key: list[str], markup: str = "html") -> DataFrame:
     """One row per token: key, pos, mark (the tag as written), tag, step, raw, opened, closed, end.
 
@@ -86,7 +94,7 @@ def elements(pages: DataFrame, key: list[str], markup: str = "html") -> DataFram
         .when(F.col("tag").isin("", *fv.VOID_TAGS) | F.col("mark").endswith("/>"), 0)
         .otherwise(1)
     )
-    tokens = tokens.withColumn("step", step).repartition(*key)
+    tokens = tokens.withColumn("step", step).repartition(_tasks(pages), *key)
     level = F.sum("step").over(Window.partitionBy(*key, "tag").orderBy("pos"))
     # A closing tag lies on the level of the tag it closes; void tags on none.
     level = F.when(F.col("step") != 0, level + (F.col("step") == -1).cast("int"))

@@ -542,3 +542,13 @@ def test_audit_stream_appends_once(spark, tmp_path):
         stream = spark.readStream.schema(schemas.LOG).parquet(source)
         audit_stream.start_append(stream, target, str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(target).count() == 1
+
+
+def test_pages_per_task_do_not_grow_with_the_table(spark, monkeypatch):
+    pages = spark.range(400).selectExpr("id", "concat('<p>Text <b>', id, '</b></p>') as html")
+    few = {r["id"]: r["text"] for r in html.text_pages(pages, ["id"]).selectExpr("id", "pages[0].text as text").collect()}
+    monkeypatch.setattr(html, "TASK_PAGES", 5)
+    tokens = html.elements(pages, ["id"])
+    per_task = tokens.groupBy(F.spark_partition_id()).agg(F.countDistinct("id").alias("n")).collect()
+    assert len(per_task) > 60 and max(r["n"] for r in per_task) <= 20
+    assert few == {r["id"]: r["text"] for r in html.text_pages(pages, ["id"]).selectExpr("id", "pages[0].text as text").collect()}
