@@ -72,6 +72,21 @@ def test_empty_corpus_and_no_questions(spark):
     assert impact_index.search_many(impact_index.build(corpus), questions.limit(0), 3).count() == 0
 
 
+def test_rows_of_questions_and_postings_are_not_shuffled(spark, monkeypatch):
+    """Many questions on a term that all documents hold: thresholds come from a few postings of it, matches stay in cells."""
+    monkeypatch.setattr(impact_index, "HEAD_POSTINGS", 10)
+    corpus = spark.range(2000).selectExpr("concat('c', lpad(id, 5, '0')) as chunk_id", "array('common', concat('w', id % 40), 'common', concat('v', id % 7)) as tokens")
+    questions = spark.range(200).selectExpr("cast(id as int) as qid", "concat('common w', id % 40, ' v', id % 7) as question")
+    index = impact_index.build(corpus)
+    tracker = spark.sparkContext._jsc.sc().statusStore()
+    before = {tracker.stageList(None, False, False, getattr(tracker, "stageList$default$4")(), getattr(tracker, "stageList$default$5")()).apply(0).stageId()}
+    got = impact_index.search_many(index, questions, 5).collect()
+    stages = tracker.stageList(None, False, False, getattr(tracker, "stageList$default$4")(), getattr(tracker, "stageList$default$5")())
+    wrote = [stages.apply(i).shuffleWriteRecords() for i in range(stages.size()) if stages.apply(i).stageId() > max(before)]
+    assert max(wrote) < 50_000  # 200 questions on 2,000 documents are 400,000 matches
+    assert key_of(got, "qid", "chunk_id", "rank") == key_of(lexical.search_many(corpus, questions, 5).collect(), "qid", "chunk_id", "rank")
+
+
 # ---- vector cells ----
 
 def clustered(rng, n, dims, centers, noise):
