@@ -66,6 +66,8 @@ def crawl(links: DataFrame, start: DataFrame, site: str, *, max_pages: int | Non
     own = links.where(F.col("page_url").isNotNull() & F.col("target").isNotNull() & (host(F.col("target")) == home)).withColumn(
         "kind", F.when(lower.endswith(".pdf"), "pdf").when(lower.rlike("^https?:") & ~F.lower("target").rlike("(" + "|".join(a.replace(".", r"\.") for a in ASSETS) + ")$"), "page")
     ).where(F.col("kind").isNotNull()).select("page_url", "position", "target", "kind", "title")
+    # Every hop reads the links; what they are derived from is read once.
+    own = materialize(own)
     first = start.select("url", *(["position"] if "position" in start.columns else [F.lit(0).alias("position")])).where(F.col("url").isNotNull())
     # At most max_pages rows are numbered in one window.
     by_place = Window.orderBy("parent", "position", "url")

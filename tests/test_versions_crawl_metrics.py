@@ -250,3 +250,19 @@ def test_rows_without_a_key_are_not_folded(spark):
     assert got == [(0, "s"), (0, "x"), (0, "x"), (0, "y"), (1, "c"), (2, "d")]
     picks = {tuple(sorted((r["chunk_id"] or 0, r["v"]) for r in merge.upsert(stored, incoming.repartition(n)).collect())) for n in (1, 3, 7)}
     assert len(picks) == 1
+
+
+def test_a_crawl_derives_its_links_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rows = [(f"https://h/{n}", 0, f"https://h/{n + 1}", "t") for n in range(4)]
+    table = spark.createDataFrame(rows, "page_url string, position int, target string, title string").coalesce(1)
+    start = spark.createDataFrame([("https://h/0",)], "url string")
+    got = crawl.crawl(table.mapInArrow(counted, table.schema), start, "https://h/")
+    assert sorted((r["url"], r["hop"]) for r in got.collect()) == [(f"https://h/{n}", n) for n in range(5)]
+    assert read.value == len(rows)
