@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,3 +68,28 @@ def test_pairs_just_at_the_similarity_are_found(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = Counter(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect())
     assert got == plain_heads(rows) == Counter([0, 2, 4, 5])
+
+
+def test_fine_histograms_bound_what_large_sets_share(spark):
+    rng = random.Random(3)
+    pool = [f"w{k}" for k in range(5_000)]
+    base = rng.choices(pool, k=1_100)
+    texts = [" ".join(base), " ".join(base[:1_000]), " ".join(rng.choices(pool, k=8_000)), " ".join(rng.choices(pool, k=8_000))]
+    sets = [shingle_sets.shingle_set(t) for t in texts]
+    fine = [shingle_sets._fine(s) for s in sets]
+    assert [len(f) for f in fine] == [256, 0, 1024, 1024]
+    folded = shingle_sets._histogram(sets[1], 128)
+    pairs = [(fine[2], fine[3]), (fine[0], folded)]
+    rows = spark.createDataFrame([([int(v) for v in x], [int(v) for v in y]) for x, y in pairs], "x array<int>, y array<int>")
+    apart, near = [r[0] for r in rows.select(shingle_sets._bound(F.col("x"), F.col("y"))).collect()]
+    # CELLS cells alone leave two large sets without a common shingle for near copies.
+    coarse = np.minimum(*(shingle_sets._histogram(s, shingle_sets.CELLS) for s in sets[2:])).sum()
+    reach = lambda shared, x, y: 9 * shared >= 4 * (len(x) + len(y))
+    assert reach(coarse, *sets[2:]) and not reach(apart, *sets[2:])
+    assert near >= len(np.intersect1d(sets[0], sets[1])) == 996 and reach(near, *sets[:2])
+
+
+def test_resolved_shingles_leave_the_rounds(spark):
+    rows = [(1, 10, 5), (1, 11, 5), (2, 10, 5), (2, 12, 12)]
+    placed = spark.createDataFrame(rows, "key long, node long, comp long")
+    assert {tuple(r) for r in shingle_sets._split(placed).collect()} == {(2, 10, 5), (2, 12, 12)}
