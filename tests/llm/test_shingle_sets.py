@@ -93,3 +93,43 @@ def test_resolved_shingles_leave_the_rounds(spark):
     rows = [(1, 10, 5), (1, 11, 5), (2, 10, 5), (2, 12, 12)]
     placed = spark.createDataFrame(rows, "key long, node long, comp long")
     assert {tuple(r) for r in shingle_sets._split(placed).collect()} == {(2, 10, 5), (2, 12, 12)}
+
+
+def test_similar_sets_share_a_key():
+    rng = np.random.default_rng(5)
+    pool = np.unique(rng.integers(-(1 << 63), (1 << 63) - 1, 6_000, np.int64))
+    narrow = np.unique(rng.integers(0, 1 << 40, 400, np.int64))  # all in one class, so no second class can be shared
+    missed = 0
+    for many in [*range(1, 70), 127, 128, 160, 255, 256, 319, 1_000, 2_047, 2_048]:
+        for source in (pool, narrow):
+            if many > len(source) // 2:
+                continue
+            for _ in range(6):
+                drawn = rng.permutation(source)
+                common = np.sort(drawn[:many // 2])
+                # The most that can differ: only taken away, only replaced, or both.
+                for gone in {many // 5, many // 9, rng.integers(0, many // 5 + 1)}:
+                    new = next((n for n in range(many // 9 + many // 5 + 1, -1, -1) if 5 * (many - gone) >= 4 * (many + n)), 0)
+                    first, second = np.sort(drawn[:many]), np.sort(np.concatenate([drawn[gone:many], drawn[many:many + new]]))
+                    assert 5 * (many - gone) >= 4 * (many + new)
+                    for order in (pool[:0], common):
+                        missed += not len(np.intersect1d(shingle_sets._prefix(first, order), shingle_sets._prefix(second, order)))
+    assert missed == 0
+
+
+def test_texts_with_a_line_in_common_do_not_meet(spark, monkeypatch):
+    monkeypatch.setattr(shingle_sets, "SAMPLE", 1 << 30)  # the sample does not show that the line is common
+    rng = random.Random(9)
+    pool = [f"w{k}" for k in range(3_000)]
+    line = rng.choices(pool, k=14)
+    texts = [" ".join(line + rng.choices(pool, k=190)) for _ in range(60)]
+    base = rng.choices(pool, k=200)
+    texts += [" ".join(base[:k] + base[k + 1:]) for k in range(20)]  # near copies share many keys, and each set of them counts once
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    marked = shingle_sets._marks(docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text"), "doc_id").checkpoint()
+    rows = shingle_sets._postings(marked)
+    nodes = {r[0]: r[1] for r in marked.select("doc_id", "node").collect()}
+    met = Counter(r["node"] for r in rows.collect())
+    assert all(met[nodes[k]] for k in range(60, 80))
+    assert sum(met[nodes[k]] for k in range(60)) < 20
+    assert {r["node"]: r["n"] for r in marked.select("node", F.explode("prefix").alias("key")).groupBy("node").agg(F.count("*").alias("n")).collect()}[nodes[60]] > met[nodes[60]]
