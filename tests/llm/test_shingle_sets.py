@@ -133,3 +133,17 @@ def test_texts_with_a_line_in_common_do_not_meet(spark, monkeypatch):
     assert all(met[nodes[k]] for k in range(60, 80))
     assert sum(met[nodes[k]] for k in range(60)) < 20
     assert {r["node"]: r["n"] for r in marked.select("node", F.explode("prefix").alias("key")).groupBy("node").agg(F.count("*").alias("n")).collect()}[nodes[60]] > met[nodes[60]]
+
+
+def test_parities_rule_out_pairs_of_a_large_group_before_they_are_rows(spark):
+    rng = random.Random(11)
+    base = rng.choices(WORDS, k=100)
+    texts = [edited(rng, base, many) for many in [1] * 30 + [9] * 30]
+    sets = [shingle_sets.shingle_set(t) for t in texts]
+    pairs = [(i, j) for i in range(60) for j in range(i)]
+    rows = [(len(sets[i]), shingle_sets._parities(sets[i]).tolist(), len(sets[j]), shingle_sets._parities(sets[j]).tolist()) for i, j in pairs]
+    frame = spark.createDataFrame(rows, "size int, parity array<long>, size2 int, parity2 array<long>")
+    may = [r[0] for r in frame.select(shingle_sets._near(*map(F.col, frame.columns))).collect()]
+    similar = [9 * len(np.intersect1d(sets[i], sets[j])) >= 4 * (len(sets[i]) + len(sets[j])) for i, j in pairs]
+    assert all(m for m, s in zip(may, similar) if s) and sum(similar) > 300
+    assert sum(may) - sum(similar) < 0.2 * (len(pairs) - sum(similar))
