@@ -2,6 +2,7 @@
 
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,8 @@ def brute(texts, question, share, average, k):
 
 
 def search(texts, questions, share, average, k):
-    rows = pa.table({"scope": [""] * len(texts), "terms": texts, "numbers": pa.nulls(len(texts), pa.list_(pa.float64()))})
+    counted = [Counter(words) for words in texts]
+    rows = pa.table({"scope": [""] * len(texts), "terms": [list(c) for c in counted], "times": [list(c.values()) for c in counted], "numbers": pa.nulls(len(texts), pa.list_(pa.float64()))})
     asked = pa.table({
         "rep": list(range(len(questions))), "scope": [""] * len(questions), "terms": [list(q) for q in questions],
         "numbers": [[share[t] * n for t, n in q.items()] for q in questions], "average": [average] * len(questions),
@@ -63,3 +65,18 @@ def test_bounds_leave_few_rows_and_the_whole_ranking(monkeypatch, most):
     matches = sum(any(t in x for t in q) for q in questions for x in texts)
     assert sum(full) < matches / 4
     assert any(lines for _, lines in blocks) and {kind for kind, _ in blocks} >= ({np.uint32} if most == 0.0 else {np.uint16})
+
+
+def test_text_is_cleaned_and_split_once(spark):
+    from docloom.operators import lexical
+    from docloom.workload import retrieval_queries
+
+    texts = [("c1", "bb aaa ccc aaa", ["aaa", "ccc", "aaa"]), ("c2", "", []), (None, "ddd", ["ddd"]), ("c3", None, None), ("c1", "ccc", ["ccc"])]
+    rows = spark.createDataFrame(texts, "chunk_id string, exact_context string, tokens array<string>")
+    got = lexical.prepared(rows, ["chunk_id"]).collect()
+    assert sorted((r.chunk_id or "", sorted(zip(r.terms.split(term_cells.BREAK), r.times)), r.length) for r in got) == [
+        ("", [("ddd", 1)], 1), ("c1", [("aaa", 2), ("ccc", 1)], 3), ("c1", [("ccc", 1)], 1)]
+    # Titles of hits come from the rows that the search wrote.
+    for name in ("dedupe_one_per_doc", "context_select"):
+        plan = retrieval_queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "RLIKE" not in plan and "exact_context" not in plan
