@@ -80,3 +80,33 @@ def test_text_is_cleaned_and_split_once(spark):
     for name in ("dedupe_one_per_doc", "context_select"):
         plan = retrieval_queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert "RLIKE" not in plan and "exact_context" not in plan
+
+
+def test_short_query_vectors_make_larger_blocks(spark, monkeypatch):
+    from docloom.operators import vector
+
+    monkeypatch.setattr(vector, "CELL_QUERIES", 2)
+    monkeypatch.setattr(vector, "CELL_VALUES", 24)
+    asked = spark.createDataFrame([(i, [float(i), 1.0, 2.0]) for i in range(17)] + [(99, None)], "q int, v array<double>")
+    assert vector._blocks(asked) == 3 and vector._blocks(asked.limit(0)) == 1
+    monkeypatch.setattr(vector, "CELL_VALUES", 1)
+    assert vector._blocks(asked) == 9
+
+
+def test_cells_of_both_sides_meet_in_every_task(spark, monkeypatch):
+    """Without merged shuffle partitions, too, each query has its k nearest."""
+    from docloom.operators import vector
+
+    monkeypatch.setattr(vector, "CELL_QUERIES", 5)
+    monkeypatch.setattr(vector, "CELL_VALUES", 1)
+    monkeypatch.setattr(vector, "CELL_ROWS", 20)
+    rng = random.Random(2)
+    make = lambda n: [(i, i % 2, [rng.uniform(-1, 1) for _ in range(4)]) for i in range(n)]
+    table = spark.createDataFrame(make(70), "chunk_id int, s int, embedding array<double>")
+    asked = spark.createDataFrame(make(23), "qid int, s int, embedding array<double>")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert vector.nearest_many(table, asked, 6).count() == 23 * 6
+        assert vector.nearest_in_scope(table, asked, "s", 6).count() == 23 * 6
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
